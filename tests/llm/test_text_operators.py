@@ -121,7 +121,7 @@ SECRETS = [
 ]
 PERSONAL = [
     "a@b.c@d.e x._%+-@h-.i.j- @a.b a@b a.b@c..d", "1.2.3.4.5 999.1.1.1 12.34.56 0255.0.0.1 1.1.1.256.1.1.1", "4111 1111 1111 1111 4111-1111-1111-1112 41111111111111114111111111 5 5", "+1 (017) 555-7713 +12 +1-2-3-4-5-6-7-8-9 ++49 30 12345678.",
-    "é中 mail: u.n@host.example.org, IBAN DE89 3702 0044 0532 0130 00 https://me:pw@host.io/x",
+    "é中 mail: u.n@host.example.org, IBAN DE89 3704 0044 0532 0130 00 https://me:pw@host.io/x",
 ]
 
 
