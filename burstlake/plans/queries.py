@@ -1,2 +1,426 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""A query per operator over the driver's tables, each with its SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import bursts as B
+from ..operators import relate as R
+from ..operators import segments as G
+from ..operators import sinkplan as P
+from .bindings import FILES_SQL, FRAMES_SQL, files, frames, table
+
+#: Gaps that suit the events table, whose users pause for hours.
+GAP, BREAK, NEAR = 14_400.0, 86_400.0, 3_600.0
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+_BURSTS = f"""{FRAMES_SQL}, lagged AS (SELECT *, t - lag(t) OVER w AS gap FROM frames WINDOW w AS (PARTITION BY shoot_id ORDER BY t, frame_id)),
+ b AS (SELECT *, sum(CASE WHEN gap >= 0 AND gap <= {GAP} THEN 0 ELSE 1 END) OVER (PARTITION BY shoot_id ORDER BY t, frame_id ROWS UNBOUNDED PRECEDING) - 1 AS burst_id FROM lagged)"""
+_SEGMENTS = f"""{FRAMES_SQL}, s AS (SELECT *, sum(CASE WHEN gap < {BREAK} THEN 0 ELSE 1 END) OVER (PARTITION BY shoot_id ORDER BY t, frame_id ROWS UNBOUNDED PRECEDING) - 1 AS segment_id
+ FROM (SELECT *, t - lag(t) OVER (PARTITION BY shoot_id ORDER BY t, frame_id) AS gap FROM frames))"""
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = " ".join(sql.split())
+        return f
+
+    return put
+
+
+def _bursts(spark, sf_dir):
+    return B.gap_bursts(frames(spark, sf_dir), GAP)
+
+
+def _segments(spark, sf_dir):
+    return G.break_segments(frames(spark, sf_dir), BREAK)
+
+
+@query(f"WITH {_BURSTS} SELECT shoot_id, burst_id, frame_id, penalty, sharpness FROM b QUALIFY row_number() OVER (PARTITION BY shoot_id, burst_id ORDER BY penalty, sharpness DESC, frame_id) = 1")
+def burst_best_shot(spark, sf_dir):
+    """The best frame of each burst."""
+    return B.burst_rank(_bursts(spark, sf_dir), ["shoot_id", "burst_id"], order="frame_id").where("burst_rank = 1").select("shoot_id", "burst_id", "frame_id", "penalty", "sharpness")
+
+
+@query(f"WITH {_BURSTS} SELECT shoot_id, burst_id, count(*) AS n, min(t) AS t_first, max(t) AS t_last FROM b GROUP BY ALL")
+def burst_sizes(spark, sf_dir):
+    return _bursts(spark, sf_dir).groupBy("shoot_id", "burst_id").agg(F.count("*").alias("n"), F.min("t").alias("t_first"), F.max("t").alias("t_last"))
+
+
+@query(f"WITH {_BURSTS} SELECT shoot_id, burst_id, string_agg(frame_id, ',' ORDER BY penalty, sharpness DESC, frame_id) AS members FROM b GROUP BY ALL")
+def burst_members(spark, sf_dir):
+    """Members in order of rank."""
+    df = B.burst_rank(_bursts(spark, sf_dir), ["shoot_id", "burst_id"], order="frame_id")
+    got = F.transform(F.array_sort(F.collect_list(F.struct("burst_rank", "frame_id"))), lambda x: x["frame_id"].cast("string"))
+    return df.groupBy("shoot_id", "burst_id").agg(F.array_join(got, ",").alias("members"))
+
+
+@query(f"""WITH {FRAMES_SQL}, u AS (SELECT frame_id, shoot_id, CASE WHEN k % 5 = 0 THEN NULL ELSE t END AS t, k AS file_number, 'IMG_' || k AS name FROM frames),
+ r AS (SELECT *, row_number() OVER w AS rk, last_value(t IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS prev, first_value(t IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_t,
+  2 * count(t) OVER (PARTITION BY shoot_id) >= count(*) OVER (PARTITION BY shoot_id) AND count(t) OVER (PARTITION BY shoot_id) > 0 AS timed
+  FROM u WINDOW w AS (PARTITION BY shoot_id ORDER BY file_number, lower(name), lpad(CAST(frame_id AS VARCHAR), 12, '0')))
+ SELECT shoot_id, frame_id, timed, row_number() OVER (PARTITION BY shoot_id ORDER BY CASE WHEN timed THEN coalesce(t, coalesce(prev, first_t) + 1e-3::DOUBLE * rk) END, file_number, CASE WHEN timed THEN lpad(CAST(frame_id AS VARCHAR), 12, '0') ELSE lower(name) END, lpad(CAST(frame_id AS VARCHAR), 12, '0')) - 1 AS capture_order FROM r""")
+def capture_order(spark, sf_dir):
+    """Every fifth time is unknown."""
+    f = frames(spark, sf_dir)
+    f = f.select("frame_id", "shoot_id", F.when(F.col("k") % 5 != 0, F.col("t")).alias("t"), F.col("k").alias("file_number"), F.concat(F.lit("IMG_"), F.col("k").cast("string")).alias("name"), F.lpad(F.col("frame_id").cast("string"), 12, "0").alias("path"))
+    return B.capture_order(f).select("shoot_id", "frame_id", "timed", "capture_order")
+
+
+@query(f"WITH {FRAMES_SQL} SELECT shoot_id, frame_id, round(t - first_value(t) OVER w, 3) AS t_rel, round(coalesce(t - lag(t) OVER w, 0), 3) AS pause FROM frames WINDOW w AS (PARTITION BY shoot_id ORDER BY t, frame_id)")
+def relative_times(spark, sf_dir):
+    """W3, W10, J8."""
+    w = Window.partitionBy("shoot_id").orderBy("t", "frame_id")
+    df = B.relative_time(frames(spark, sf_dir), order=("t", "frame_id"))
+    return df.select("shoot_id", "frame_id", F.round("t_rel", 3).alias("t_rel"), F.round(B.pause("t", w), 3).alias("pause"))
+
+
+@query(f"""WITH {_SEGMENTS} SELECT shoot_id, segment_id, frame_id, round(CASE WHEN n <= 1 THEN 0.5 ELSE (rk - 1 + 0.5 * (eq - 1)) / (n - 1) END, 9) AS pct FROM
+ (SELECT *, CAST(count(*) OVER (PARTITION BY shoot_id, segment_id) AS DOUBLE) AS n, CAST(rank() OVER (PARTITION BY shoot_id, segment_id ORDER BY k) AS DOUBLE) AS rk, CAST(count(*) OVER (PARTITION BY shoot_id, segment_id, k) AS DOUBLE) AS eq FROM s)""")
+def segment_midrank(spark, sf_dir):
+    """W5."""
+    return B.mid_rank(_segments(spark, sf_dir), "k", ["shoot_id", "segment_id"]).select("shoot_id", "segment_id", "frame_id", F.round("pct", 9).alias("pct"))
+
+
+@query(f"""WITH {_SEGMENTS}, m AS (SELECT *, median(sharpness) OVER (PARTITION BY shoot_id, segment_id) AS med, count(*) OVER (PARTITION BY shoot_id, segment_id) AS n FROM s),
+ d AS (SELECT *, 1.4826::DOUBLE * median(abs(sharpness - med)) OVER (PARTITION BY shoot_id, segment_id) AS mad FROM m)
+ SELECT shoot_id, segment_id, frame_id, round(med, 6) AS med, round(mad, 6) AS mad, sharpness < 2.0 OR (n >= 6 AND mad > 0 AND sharpness < med - 2.5::DOUBLE * mad) AS soft FROM d""")
+def mad_soft_flag(spark, sf_dir):
+    """A8, P3."""
+    df = B.soft_flags(_segments(spark, sf_dir), "sharpness", ["shoot_id", "segment_id"], floor=2.0)
+    return df.select("shoot_id", "segment_id", "frame_id", F.round("med", 6).alias("med"), F.round("mad", 6).alias("mad"), "soft")
+
+
+@query(f"""WITH {_SEGMENTS} SELECT shoot_id, segment_id, frame_id, row_number() OVER (PARTITION BY shoot_id, segment_id ORDER BY sharpness DESC NULLS LAST, frame_id) AS place, count(sharpness) OVER (PARTITION BY shoot_id, segment_id) AS "of" FROM s""")
+def sharpness_place(spark, sf_dir):
+    """W7."""
+    return B.place(_segments(spark, sf_dir), "sharpness", ["shoot_id", "segment_id"], "frame_id").select("shoot_id", "segment_id", "frame_id", "place", "of")
+
+
+@query(f"""WITH {FRAMES_SQL} SELECT shoot_id, frame_id, round(CASE WHEN event_type = 'error' THEN coalesce(min(CASE WHEN event_type <> 'error' THEN sharpness END) OVER (PARTITION BY shoot_id), 0) - 1 ELSE sharpness END, 6) AS score FROM frames""")
+def unreadable_floor(spark, sf_dir):
+    """A7."""
+    f = frames(spark, sf_dir).withColumn("_s", F.when(F.col("event_type") != "error", F.col("sharpness")))
+    floor = B.sharpness_floor("_s", Window.partitionBy("shoot_id"))
+    return f.select("shoot_id", "frame_id", F.round(F.coalesce("_s", floor), 6).alias("score"))
+
+
+@query(f"""WITH {_BURSTS} SELECT shoot_id, frame_id, burst_id, CASE WHEN k % 3 = 0 THEN k END IS NULL AND max(CASE WHEN k % 3 = 0 THEN k END) OVER p IS NULL AS no_face,
+ coalesce(CASE WHEN k % 3 = 0 THEN k END, first_value(CASE WHEN k % 3 = 0 THEN k END) OVER (PARTITION BY shoot_id, burst_id ORDER BY CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END, sharpness DESC, frame_id)) AS face_box FROM b WINDOW p AS (PARTITION BY shoot_id, burst_id)""")
+def burst_face_donor(spark, sf_dir):
+    """A frame whose k is a multiple of three has a face, k itself."""
+    df = _bursts(spark, sf_dir).withColumn("face_box", F.when(F.col("k") % 3 == 0, F.col("k"))).withColumn("capture_order", F.col("frame_id"))
+    df = df.withColumn("flags", F.array_compact(F.array(F.when(F.col("face_box").isNull(), "no_face"))))
+    return B.share_in_burst(df, ["shoot_id", "burst_id"]).select("shoot_id", "frame_id", "burst_id", F.array_contains("flags", "no_face").alias("no_face"), "face_box")
+
+
+@query(f"WITH {_BURSTS} SELECT shoot_id, burst_id, count(DISTINCT event_type) > 1 AS mixed FROM b GROUP BY ALL")
+def burst_mixed_basis(spark, sf_dir):
+    """A9."""
+    return _bursts(spark, sf_dir).groupBy("shoot_id", "burst_id").agg((F.size(F.collect_set("event_type")) > 1).alias("mixed"))
+
+
+@query(f"""WITH {_SEGMENTS} SELECT shoot_id, segment_id, min(t) AS t_start, max(t) AS t_end, count(*) AS n FROM s GROUP BY ALL""")
+def segment_ranges(spark, sf_dir):
+    """K1's sure cuts."""
+    return _segments(spark, sf_dir).groupBy("shoot_id", "segment_id").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.count("*").alias("n"))
+
+
+_K1 = f"""WITH RECURSIVE {FRAMES_SQL}, o AS (SELECT shoot_id, t, row_number() OVER (PARTITION BY shoot_id ORDER BY t, frame_id) - 1 AS i FROM frames),
+ g AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY shoot_id ORDER BY i), 0) AS gap FROM o),
+ base AS (SELECT *, sum(CASE WHEN gap >= {BREAK} THEN 1 ELSE 0 END) OVER (PARTITION BY shoot_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM g),
+ seg(shoot_id, a, z) AS (SELECT shoot_id, min(i), max(i) FROM base GROUP BY shoot_id, c UNION ALL
+  SELECT s.shoot_id, CASE side WHEN 0 THEN s.a ELSE s.best END, CASE side WHEN 0 THEN s.best - 1 ELSE s.z END FROM (SELECT seg.shoot_id, seg.a, seg.z,
+   (SELECT x.i FROM g x WHERE x.shoot_id = seg.shoot_id AND x.i BETWEEN seg.a + 3 AND seg.z - 2 AND x.gap >= {NEAR} ORDER BY x.gap DESC, x.i DESC LIMIT 1) AS best FROM seg
+   JOIN g ga ON ga.shoot_id = seg.shoot_id AND ga.i = seg.a JOIN g gz ON gz.shoot_id = seg.shoot_id AND gz.i = seg.z WHERE gz.t - ga.t > {GAP * 6}) s, (VALUES (0), (1)) v(side) WHERE s.best IS NOT NULL)"""
+
+
+@query(f"{_K1}, st AS (SELECT DISTINCT shoot_id, a FROM seg) SELECT o.shoot_id, o.i AS capture_order, sum(CASE WHEN st.a IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY o.shoot_id ORDER BY o.i ROWS UNBOUNDED PRECEDING) - 1 AS segment_id FROM o LEFT JOIN st ON st.shoot_id = o.shoot_id AND st.a = o.i")
+def segment_split(spark, sf_dir):
+    """K1, recursive longest-pause segmentation, every frame a legal cut."""
+    f = frames(spark, sf_dir)
+    w = Window.partitionBy("shoot_id").orderBy("t", "frame_id")
+    f = f.withColumn("capture_order", F.row_number().over(w) - 1).withColumn("timed", F.lit(True)).withColumn("burst_id", F.col("capture_order"))
+    return G.split_segments(f, G.SegmentRules(BREAK, GAP * 6, NEAR, 3))
+
+
+_CAP = """cap AS (SELECT o_custkey AS shoot_id, o_orderpriority AS segment_id, count(*) AS capacity FROM orders GROUP BY ALL), n AS (SELECT *, 3 + shoot_id % 7 AS n FROM cap),
+ l AS (SELECT *, count(*) OVER (PARTITION BY shoot_id) AS live FROM n), x AS (SELECT *, unnest(CASE WHEN capacity > 1 THEN range(1, capacity) ELSE [] END) AS k FROM l WHERE n > live),
+ r AS (SELECT *, row_number() OVER (PARTITION BY shoot_id ORDER BY pow(CAST(capacity AS DOUBLE), 0.5::DOUBLE) / (k + 0.5::DOUBLE) DESC, segment_id, k) AS p FROM x), e AS (SELECT shoot_id, segment_id, count(*) AS extra FROM r WHERE p <= n - live GROUP BY ALL),
+ few AS (SELECT *, row_number() OVER (PARTITION BY shoot_id ORDER BY segment_id) - 1 AS at_, CAST(live AS DOUBLE) / n AS step FROM l WHERE n < live), ch AS (SELECT *, len([j for j in range(1, n + 1) if CAST(floor(j * step) AS BIGINT) <= at_]) AS chunk FROM few),
+ pk AS (SELECT shoot_id, segment_id, row_number() OVER (PARTITION BY shoot_id, chunk ORDER BY capacity DESC, segment_id) = 1 AS first_ FROM ch)"""
+
+
+@query(f"WITH {_CAP} SELECT l.shoot_id, l.segment_id, l.capacity, CASE WHEN l.n < l.live THEN CASE WHEN pk.first_ THEN 1 ELSE 0 END ELSE 1 + coalesce(e.extra, 0) END AS quota FROM l LEFT JOIN e USING (shoot_id, segment_id) LEFT JOIN pk USING (shoot_id, segment_id)")
+def quota_sainte_lague(spark, sf_dir):
+    """K3, K4: picks over the priorities of a customer's orders."""
+    cap = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("shoot_id"), F.col("o_orderpriority").alias("segment_id")).agg(F.count("*").alias("capacity"))
+    return G.apportion(cap.withColumn("n", 3 + F.col("shoot_id") % 7)).select("shoot_id", "segment_id", "capacity", "quota")
+
+
+def _reps(spark, sf_dir):
+    df = B.burst_rank(_bursts(spark, sf_dir), ["shoot_id", "burst_id"], order="frame_id").where("burst_rank = 1")
+    df = G.break_segments(df, BREAK)
+    df = B.mid_rank(df, "sharpness", ["shoot_id", "segment_id"])
+    df = B.relative_time(df, order=("t", "frame_id"))
+    return df.withColumn("capture_order", F.col("frame_id"))
+
+
+@query(None)
+def suggested_picks(spark, sf_dir):
+    """K2, K8, T-3: up to 30 picks a shoot; held against a plain version in the tests."""
+    return G.suggest(_reps(spark, sf_dir), 30, G.PickRules(near_s=NEAR * 8))
+
+
+@query(None)
+def every_frame_in_order(spark, sf_dir):
+    """K6, U4."""
+    df = B.burst_rank(_bursts(spark, sf_dir), ["shoot_id", "burst_id"], order="frame_id").withColumn("capture_order", F.col("frame_id"))
+    picks = G.suggest(_reps(spark, sf_dir), None, G.PickRules(near_s=NEAR * 8))
+    return G.full_order(df, picks).select("shoot_id", "frame_id", "full_place")
+
+
+@query("""SELECT l_returnflag, count(*) AS seen, count_if(l_linestatus = 'O') AS ok, count_if(l_linestatus <> 'O') AS failed, count_if(l_discount > 0.05) AS full_n, count_if(l_discount <= 0.05 AND l_quantity < 10) AS small_n, round(sum(l_extendedprice), 2) AS bytes,
+ greatest(0, count_if(l_linestatus = 'O') - count_if(l_discount > 0.05)) AS reduced FROM lineitem GROUP BY 1""")
+def run_totals(spark, sf_dir):
+    """A1-A5: one pass of conditional counts; small only where not full."""
+    full, ok = F.col("l_discount") > 0.05, F.col("l_linestatus") == "O"
+    df = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("seen"), *R.count_where(ok=ok, failed=~ok, full_n=full, small_n=~full & (F.col("l_quantity") < 10)), F.round(F.sum("l_extendedprice"), 2).alias("bytes"))
+    return df.withColumn("reduced", F.greatest(F.lit(0), F.col("ok") - F.col("full_n")))
+
+
+@query(f"""WITH {FILES_SQL}, c AS (SELECT *, CASE WHEN lower(ext) IN ('jpg', 'jpeg') THEN 'j' ELSE 'r' END AS kd, lower(stem) AS ls FROM files), n AS (SELECT *, row_number() OVER (PARTITION BY dir, ls, kd ORDER BY pos) AS rn FROM c),
+ r AS (SELECT dir, ls, path AS raw FROM n WHERE kd = 'r' AND rn = 1), j AS (SELECT dir, ls FROM n WHERE kd = 'j' AND rn = 1)
+ SELECT n.pos, n.path, CASE WHEN n.kd = 'j' AND n.rn = 1 THEN r.raw END AS pair_path FROM n LEFT JOIN r USING (dir, ls) LEFT JOIN j USING (dir, ls) WHERE NOT (n.kd = 'r' AND n.rn = 1 AND j.dir IS NOT NULL)""")
+def raw_jpeg_pairs(spark, sf_dir):
+    """J1, J3, S3."""
+    return R.raw_jpeg_pairs(files(spark, sf_dir)).select("pos", "path", "pair_path")
+
+
+@query(f"WITH {FILES_SQL} SELECT pos, path FROM files f WHERE lower(ext) NOT IN ('cr2') OR NOT EXISTS (SELECT 1 FROM files g WHERE g.dir = f.dir AND lower(g.stem) = lower(f.stem) AND lower(g.ext) IN ('jpg', 'jpeg'))")
+def unpaired_anti(spark, sf_dir):
+    """J2."""
+    return R.drop_raw_twins(files(spark, sf_dir)).select("pos", "path")
+
+
+@query("SELECT l_partkey, arg_max(l_suppkey, l_orderkey * 10 + l_linenumber) AS dst, max(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem GROUP BY 1")
+def latest_processed(spark, sf_dir):
+    """The last writer wins."""
+    df = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return R.latest_per_key(df, ["l_partkey"], "dst", "seq")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def remaining_work(spark, sf_dir):
+    """J10, J11, U3."""
+    done = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return R.remaining(table(spark, sf_dir, "orders").select("o_orderkey"), done, ["o_orderkey"])
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def only_ticked(spark, sf_dir):
+    """J5, P8."""
+    return R.ticked(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").where("quality = 1"), ["doc_id"])
+
+
+@query(f"WITH {_SEGMENTS}, r AS (SELECT shoot_id, segment_id, min(t) AS a, max(t) AS z FROM s GROUP BY ALL) SELECT f.shoot_id, f.frame_id, r.segment_id FROM frames f JOIN r ON r.shoot_id = f.shoot_id AND f.t BETWEEN r.a AND r.z")
+def segment_of_frame(spark, sf_dir):
+    """Range containment."""
+    ranges = _segments(spark, sf_dir).groupBy("shoot_id", "segment_id").agg(F.min("t").alias("a"), F.max("t").alias("z"))
+    return R.in_range(frames(spark, sf_dir).select("shoot_id", "frame_id", "t"), ranges, ["shoot_id"], "t", "a", "z").select("shoot_id", "frame_id", "segment_id")
+
+
+@query("""SELECT a.vec_id, b.vec_id AS other, list_sum([CASE WHEN (a.embedding[i] > 0) <> (b.embedding[i] > 0) THEN 1 ELSE 0 END for i in range(1, 65)])::INT AS bits FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
+ WHERE list_sum([CASE WHEN (a.embedding[i] > 0) <> (b.embedding[i] > 0) THEN 1 ELSE 0 END for i in range(1, 65)]) <= 24""")
+def hamming_pairs(spark, sf_dir):
+    """Near pairs within a label."""
+    df = table(spark, sf_dir, "embeddings").select("vec_id", "label", S.sign_hash(F.col("embedding")).alias("hash"))
+    return R.near_pairs(df, "vec_id", ["label"], "hash", 24).select("vec_id", "other", "bits")
+
+
+@query("""SELECT a.vec_id, arg_max(b.vec_id, struct_pack(d := round(list_sum([CAST(a.embedding[i] AS DOUBLE) * b.embedding[i] for i in range(1, 65)]), 6), o := -b.vec_id)) AS best, max(round(list_sum([CAST(a.embedding[i] AS DOUBLE) * b.embedding[i] for i in range(1, 65)]), 6)) AS corr
+ FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1""")
+def signature_topk(spark, sf_dir):
+    """Each vector's closest within its label."""
+    e = table(spark, sf_dir, "embeddings")
+    o = e.select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("e2"))
+    df = e.join(o, "label").where("vec_id <> other").withColumn("corr", F.round(S.dot(F.col("embedding"), F.col("e2")), 6))
+    return df.groupBy("vec_id").agg(F.max_by("other", F.struct("corr", (-F.col("other")).alias("o"))).alias("best"), F.max("corr").alias("corr"))
+
+
+@query("SELECT a.vec_id, b.vec_id AS other, round(list_sum([least(abs(CAST(a.embedding[i] AS DOUBLE)), abs(CAST(b.embedding[i] AS DOUBLE))) for i in range(1, 65)]), 6) AS inter FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def hist_intersection(spark, sf_dir):
+    """F7, on sizes of components."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", F.abs).alias("h"))
+    o = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("other"), F.col("h").alias("h2"))
+    return e.join(o, "vec_id").select("vec_id", "other", F.round(S.histogram_intersection(F.col("h"), F.col("h2")), 6).alias("inter"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1")
+def distinct_keep_first(spark, sf_dir):
+    """U1."""
+    return R.distinct_keep_first(table(spark, sf_dir, "lineitem"), ["l_partkey"], ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_partkey", "l_suppkey")
+
+
+@query("SELECT c_nationkey AS k FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal < 500) WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT DISTINCT s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal < 500)")
+def symmetric_diff(spark, sf_dir):
+    """U2."""
+    return R.symmetric_difference(table(spark, sf_dir, "customer").where("c_acctbal < 500").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1 ORDER BY o_orderkey DESC LIMIT 200")
+def upsert_tail(spark, sf_dir):
+    """U5, T-8, T-9: the 200 keys written last."""
+    return R.upsert_tail(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey", 200)
+
+
+@query("SELECT p_partkey, p_brand, p_size, row_number() OVER (ORDER BY p_size DESC, p_partkey DESC) AS place FROM part ORDER BY p_size DESC, p_partkey DESC LIMIT 100")
+def three_state_sort(spark, sf_dir):
+    """T-5: descending turns ties as well; the first screen of 100 rows."""
+    top = R.three_state_sort(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "p_size", "p_partkey", "desc").limit(100)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("p_size").desc(), F.col("p_partkey").desc())))
+
+
+@query(f"""WITH {FILES_SQL}, j AS (SELECT f.pos, f.path, (SELECT min(g.path) FROM files g WHERE g.dir = f.dir AND lower(g.stem) = lower(f.stem) AND g.ext = 'CR2') AS pair FROM files f WHERE f.ext <> 'CR2')
+ SELECT pos, 0 AS nth, path AS src FROM j UNION ALL SELECT pos, 1, pair FROM j WHERE pair IS NOT NULL""")
+def export_list(spark, sf_dir):
+    """Each pick and its RAW."""
+    f = files(spark, sf_dir)
+    raw = f.where("ext = 'CR2'").groupBy("dir", F.lower("stem").alias("_s")).agg(F.min("path").alias("pair_path"))
+    picks = f.where("ext <> 'CR2'").withColumn("_s", F.lower("stem")).join(raw, ["dir", "_s"], "left")
+    return R.with_pairs(picks).select("pos", "nth", "src")
+
+
+@query("SELECT d.doc_id, coalesce(CASE WHEN l.quality = 0 THEN 'user' END, d.source) AS source FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id)")
+def user_override(spark, sf_dir):
+    """J16, J17."""
+    user = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("q")).select("doc_id", F.when(F.col("q") == 0, "user").alias("chosen"))
+    return R.override(table(spark, sf_dir, "documents").select("doc_id", "source"), user, ["doc_id"], "source", "chosen").select("doc_id", "source")
+
+
+@query("SELECT page_id, CAST(coalesce(nullif(regexp_extract(url, '([0-9]+)[^0-9]*$', 1), ''), '-1') AS BIGINT) AS file_number FROM pages")
+def file_number(spark, sf_dir):
+    """X2."""
+    return table(spark, sf_dir, "pages").select("page_id", S.file_number(F.col("url")).cast("long").alias("file_number"))
+
+
+@query("SELECT page_id, regexp_replace(left(regexp_replace(regexp_replace(url, '[^\\p{L}\\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g'), 40), '_+$', '') AS slug FROM pages")
+def slug(spark, sf_dir):
+    """X8."""
+    return table(spark, sf_dir, "pages").select("page_id", S.slug(F.col("url")).alias("slug"))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_partkey * 7919 % 256 AS r, p_partkey * 104729 % 256 AS g, p_size * 5 % 256 AS b FROM part), l AS (SELECT p_partkey, [CASE WHEN v / 255.0::DOUBLE <= 0.04045::DOUBLE THEN v / 255.0::DOUBLE / 12.92::DOUBLE ELSE pow((v / 255.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END for v in [r, g, b]] AS x FROM c),
+ y AS (SELECT p_partkey, 0.2126::DOUBLE * x[1] + 0.7152::DOUBLE * x[2] + 0.0722::DOUBLE * x[3] AS y FROM l) SELECT p_partkey, round(1.05::DOUBLE / (y + 0.05::DOUBLE), 6) AS ratio, 1.05::DOUBLE / (y + 0.05::DOUBLE) >= 4.5 AS readable, round(CASE WHEN y > 216.0::DOUBLE / 24389 THEN 116 * cbrt(y) - 16 ELSE y * 24389.0::DOUBLE / 27 END, 6) AS lightness FROM y""")
+def contrast_ratio(spark, sf_dir):
+    """Made-up colours against white."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 7919 % 256).alias("r"), (F.col("p_partkey") * 104729 % 256).alias("g"), (F.col("p_size") * 5 % 256).alias("b"))
+    y = S.luminance(F.col("r"), F.col("g"), F.col("b"))
+    ratio = S.contrast(F.lit(1.0), y)
+    return p.select("p_partkey", F.round(ratio, 6).alias("ratio"), (ratio >= 4.5).alias("readable"), F.round(S.lightness(y), 6).alias("lightness"))
+
+
+@query("""SELECT event_id, CASE WHEN s >= 3600 THEN CAST(s // 3600 AS VARCHAR) || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') ELSE CAST(s // 60 AS VARCHAR) END || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock,
+ CASE WHEN s % 100 BETWEEN 11 AND 14 THEN 'кадров' WHEN s % 10 = 1 THEN 'кадр' WHEN s % 10 BETWEEN 2 AND 4 THEN 'кадра' ELSE 'кадров' END AS word FROM (SELECT event_id, CAST(round_even(value * 20, 0) AS BIGINT) AS s FROM events)""")
+def clock_and_plural(spark, sf_dir):
+    """X3, X5."""
+    s = F.bround(F.col("value") * 20, 0).cast("long")
+    return table(spark, sf_dir, "events").select("event_id", S.clock(F.col("value") * 20).alias("clock"), S.plural(s, "кадр", "кадра", "кадров").alias("word"))
+
+
+@query("""SELECT event_id, try_strptime(CASE WHEN event_id % 9 = 0 THEN 'garbage' ELSE strftime(ts, '%Y:%m:%d %H:%M:%S') END, '%Y:%m:%d %H:%M:%S') IS NOT NULL AS ok,
+ round(epoch_us(try_strptime(CASE WHEN event_id % 9 = 0 THEN 'garbage' ELSE strftime(ts, '%Y:%m:%d %H:%M:%S') END, '%Y:%m:%d %H:%M:%S')) / 1e6 + CAST('0.' || CAST(event_id % 100 AS VARCHAR) AS DOUBLE), 3) AS t FROM events""")
+def exif_time(spark, sf_dir):
+    """X1, S24."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    e = table(spark, sf_dir, "events")
+    stamp = F.when(F.col("event_id") % 9 == 0, "garbage").otherwise(F.date_format("ts", "yyyy:MM:dd HH:mm:ss"))
+    t = S.exif_seconds(stamp, (F.col("event_id") % 100).cast("string"))
+    return e.select("event_id", t.isNotNull().alias("ok"), F.round(t, 3).alias("t"))
+
+
+@query("SELECT p_partkey, CASE WHEN starts_with(lower(p_type), lower(p_name)) THEN p_type ELSE trim(p_name || ' ' || p_type) END AS camera, CASE WHEN p_retailprice * 1000 >= 1048576 THEN printf('%.1f МБ', p_retailprice * 1000 / 1048576.0::DOUBLE) ELSE CAST(CAST(round_even(p_retailprice * 1000 / 1024.0::DOUBLE, 0) AS BIGINT) AS VARCHAR) || ' КБ' END AS size FROM part")
+def camera_and_size(spark, sf_dir):
+    """X4, X6."""
+    return table(spark, sf_dir, "part").select("p_partkey", S.camera(F.col("p_name"), F.col("p_type")).alias("camera"), S.byte_size(F.col("p_retailprice") * 1000).alias("size"))
+
+
+@query(f"WITH {FRAMES_SQL}, x AS (SELECT *, CASE WHEN sharpness < 5 THEN ['soft'] ELSE [] END || CASE WHEN k % 4 = 0 THEN ['no_face'] ELSE [] END || CASE WHEN k % 7 = 0 THEN ['odd'] ELSE [] END AS flags FROM frames) SELECT frame_id, array_to_string(flags, ',') AS flags, CAST((CASE WHEN list_contains(flags, 'soft') THEN 4 ELSE 0 END) + (CASE WHEN list_contains(flags, 'no_face') THEN 1 ELSE 0 END) AS INT) AS penalty FROM x")
+def flag_penalties(spark, sf_dir):
+    """P3, X19, J13."""
+    flags = F.array_compact(F.array(F.when(F.col("sharpness") < 5, "soft"), F.when(F.col("k") % 4 == 0, "no_face"), F.when(F.col("k") % 7 == 0, "odd")))
+    df = frames(spark, sf_dir).withColumn("_f", flags)
+    return df.select("frame_id", F.array_join("_f", ",").alias("flags"), S.penalty(F.col("_f"), {"unreadable": 100, "soft": 4, "blown_face": 2, "dark_face": 2, "no_face": 1}).alias("penalty"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN o BETWEEN 5 AND 8 AND (w < h) <> (rw < rh) AND w <> h AND rw <> rh THEN 1 ELSE o END AS orientation FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 8 + 1 AS INT) AS o, l_quantity AS w, l_discount * 300 AS h, l_suppkey AS rw, l_linenumber AS rh FROM lineitem)")
+def orientation_guard(spark, sf_dir):
+    """P13."""
+    df = table(spark, sf_dir, "lineitem")
+    o = (F.col("l_partkey") % 8 + 1).cast("int")
+    return df.select("l_orderkey", "l_linenumber", S.orientation_to_apply(o, F.col("l_quantity"), F.col("l_discount") * 300, F.col("l_suppkey"), F.col("l_linenumber")).alias("orientation"))
+
+
+@query(f"WITH {FRAMES_SQL}, a AS (SELECT shoot_id, list(sharpness ORDER BY sharpness) AS x, round(quantile_cont(sharpness, 0.97), 6) AS p97, round(avg(CASE WHEN sharpness >= 40 THEN 1.0::DOUBLE ELSE 0 END), 9) AS clipped FROM frames GROUP BY 1) SELECT shoot_id, x[CAST(least(len(x) - 1, floor(0.9::DOUBLE * len(x))) AS BIGINT) + 1] AS p90, p97, clipped FROM a")
+def pixel_percentiles(spark, sf_dir):
+    """A13 (nearest index), A14 (interpolated), A15 (share)."""
+    df = frames(spark, sf_dir).groupBy("shoot_id").agg(F.sort_array(F.collect_list("sharpness")).alias("x"), F.round(F.percentile("sharpness", F.lit(0.97)), 6).alias("p97"), F.round(F.avg((F.col("sharpness") >= 40).cast("double")), 9).alias("clipped"))
+    return df.select("shoot_id", F.expr("element_at(x, int(least(size(x) - 1, floor(double(0.9) * size(x)))) + 1)").alias("p90"), "p97", "clipped")
+
+
+@query("SELECT c_nationkey, round(corr(ra, rb), 9) AS spearman FROM (SELECT c_nationkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS DOUBLE) AS ra, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY length(c_mktsegment), c_custkey) AS DOUBLE) AS rb FROM customer) GROUP BY 1")
+def spearman(spark, sf_dir):
+    """Rank correlation, ties by id."""
+    w = Window.partitionBy("c_nationkey")
+    df = table(spark, sf_dir, "customer").select("c_nationkey", F.row_number().over(w.orderBy("c_acctbal", "c_custkey")).cast("double").alias("a"), F.row_number().over(w.orderBy(F.length("c_mktsegment"), "c_custkey")).cast("double").alias("b"))
+    return df.groupBy("c_nationkey").agg(F.round(F.corr("a", "b"), 9).alias("spearman"))
+
+
+@query("SELECT c_mktsegment, CASE WHEN count(DISTINCT c_nationkey) = 1 THEN min(c_nationkey) END AS common, count(*) AS n FROM customer GROUP BY 1")
+def common_folder(spark, sf_dir):
+    """A19."""
+    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.when(F.min("c_nationkey") == F.max("c_nationkey"), F.min("c_nationkey")).alias("common"), F.count("*").alias("n"))
+
+
+@query("SELECT source, arg_max(len_, struct_pack(n := n, o := -len_)) AS modal, max(n) AS n FROM (SELECT source, n_chars // 100 AS len_, count(*) AS n FROM documents GROUP BY ALL) GROUP BY 1")
+def modal_value(spark, sf_dir):
+    """F16: the commonest value, the smallest of equals."""
+    df = table(spark, sf_dir, "documents").groupBy("source", F.floor(F.col("n_chars") / 100).alias("v")).agg(F.count("*").alias("n"))
+    return df.groupBy("source").agg(F.max_by("v", F.struct("n", (-F.col("v")).alias("o"))).alias("modal"), F.max("n").alias("n"))
+
+
+@query("SELECT p_brand, p_type, round(avg(p_retailprice), 6) AS alpha, count(*) AS n FROM part GROUP BY ALL")
+def screen_accuracy(spark, sf_dir):
+    """A18."""
+    return table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.round(F.avg("p_retailprice"), 6).alias("alpha"), F.count("*").alias("n"))
+
+
+@query("SELECT l_suppkey, least(34, greatest(12, max(length(CAST(l_partkey AS VARCHAR)) * 5))) AS width FROM lineitem GROUP BY 1")
+def column_widths(spark, sf_dir):
+    """A21."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.least(F.lit(34), F.greatest(F.lit(12), F.max(F.length(F.col("l_partkey").cast("string")) * 5))).alias("width"))
+
+
+@query(None)
+def planned_names(spark, sf_dir):
+    """Names that don't collide, in input order; held against a plain version in the tests."""
+    f = files(spark, sf_dir).select("pos", F.col("dir").alias("out_dir"), "stem", F.col("path").alias("src"))
+    return P.plan_names(f)
+
+
+@query(f"WITH {FRAMES_SQL} SELECT shoot_id, frame_id, event_type, penalty FROM frames WHERE event_type IN ('error', 'signup') AND NOT (k < 3)")
+def only_problems(spark, sf_dir):
+    """Predicates that reach the scan."""
+    return frames(spark, sf_dir).where(F.col("event_type").isin("error", "signup") & ~(F.col("k") < 3)).select("shoot_id", "frame_id", "event_type", "penalty")
+
+
+@query("SELECT conv_id, count(*) AS turns, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS asked, max(length(text)) AS longest FROM conversations GROUP BY 1")
+def conversation_totals(spark, sf_dir):
+    """A2 on ordered turns."""
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("asked"), F.max(F.length("text")).alias("longest"))
