@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import Scratch, map_rows
 
-#: Bytes of a table on disk up to which it is broadcast.
-SMALL = 8_000_000
-
 
 def bands_for(threshold: float, recall: float = 0.995, most_hashes: int = 168) -> tuple[int, int]:
     """(bands, rows): the most rows, so the fewest false candidates, that reach ``recall`` at ``threshold`` with so many hashes."""
@@ -157,12 +154,12 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: floa
     members = members.join(size, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = scratch.table(members.select("root", "node", "copies", "rid", "block", "blocks"), "members")
     wanted = members.select(F.col("rid").alias("w_rid"), "root", "node", "copies", "block", "blocks")
-    small = scratch.bytes("members") <= SMALL
-    texts = rows.select("rid", "_text").join(F.broadcast(wanted) if small else wanted, F.col("rid") == F.col("w_rid")).dropDuplicates(["node"])
+    texts = rows.select("rid", "_text").join(wanted, F.col("rid") == F.col("w_rid")).dropDuplicates(["node"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = texts.select("root", "node", "copies", "block", "_text", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
     verified = units.groupBy("root", "i", "j").applyInPandas(_verify(threshold, n), "node long, links long, root long")
     verified = scratch.table(verified, "verified")
+    scratch.drop("stars", "groups", "members")
     classes = components(verified.select(F.col("node").alias("u"), F.col("root").alias("v")), scratch, "classes")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "set_id", "copies", "first").join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))

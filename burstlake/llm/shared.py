@@ -45,15 +45,16 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def bytes(self, name: str) -> int:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
-
     def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more; without names, all of the run."""
+        """Deletes tables that nothing reads any more; without names, all of the run.
+
+        Spark deletes the shuffle files of finished jobs once the driver's JVM
+        has collected their handles, so it's asked to: large runs need the disk.
+        """
         for name in names or ("",):
             where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.spark._jvm.System.gc()
 
 
 def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[dict], Iterator[dict] | dict]]) -> DataFrame:

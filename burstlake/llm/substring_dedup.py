@@ -23,8 +23,6 @@ from .shared import Scratch, map_rows
 _B = 0x9E3779B97F4A7C15
 _INV = pow(_B, -1, 1 << 64)
 _POWERS: dict = {}
-#: Bytes of a table on disk up to which it is broadcast.
-SMALL = 8_000_000
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,16 +150,17 @@ def substring_dedup(docs: DataFrame, length: int = 35, first: int = 9, id_col: s
 
         return each
 
-    asked = _joined(rows.select("rid", "_text"), ask, scratch, "ask").where("ask is not null")
+    asked = rows.select("rid", "_text").join(ask, "rid")
     whole = map_rows(asked.select("_text", "ask"), "h long, span long, k short, copies long", windows)
     whole = scratch.table(whole.distinct(), "windows")  # a repeated row gives its windows twice
     again = whole.groupBy("h").agg(F.sum("copies").alias("_n")).where("_n > 1").select("h")
     masks = whole.where("copies = 1").join(again, "h", "left_semi").groupBy("span").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
     masks = scratch.table(masks.unionByName(spans.where("copies > 1").select("span", F.expr("shiftleft(1L, n) - 1").alias("mask"))), "masks")
-    scratch.drop("windows")
+    scratch.drop("windows", "ask", "some", "spans")
     gone = two.withColumn("span", F.xxhash64("h1", "hs", "n", "off")).join(masks, "span")
     gone = gone.groupBy("rid").agg(F.collect_set(F.struct("start", "mask")).alias("gone"))
     gone = scratch.table(gone, "gone")
+    scratch.drop("two", "masks")
 
     def cut():
         def each(cols):
@@ -187,10 +186,6 @@ def substring_dedup(docs: DataFrame, length: int = 35, first: int = 9, id_col: s
         return each
 
     kind = docs.schema[id_col].dataType.simpleString()
-    done = map_rows(_joined(rows, gone, scratch, "gone").select("_id", "_text", "gone"), f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept string", cut)
+    done = map_rows(rows.join(gone, "rid", "left").select("_id", "_text", "gone"), f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept string", cut)
     return done.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *["kept"] * texts)
 
-
-def _joined(rows: DataFrame, table: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """``rows`` with ``table`` by ``rid``, where there is one: broadcast if its files are small, else merged."""
-    return rows.join(F.broadcast(table) if scratch.bytes(name) <= SMALL else table, "rid", "left")
