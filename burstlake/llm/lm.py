@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, map_rows
+from .shared import Scratch, heaviest, map_rows
 
 #: The token that ends a text; no word is empty.
 END = b""
@@ -42,14 +43,26 @@ class Classes:
         self.own, self.shared = min(own, len(frequent)), shared
         self.size = self.own + shared
         self.start = self.size  # the context before a text
-        self.known = {w: (k if k < self.own else self.hashed(w), c) for k, (w, c) in enumerate(frequent)}
+        self.place = {w: k for k, (w, _) in enumerate(frequent)}
+        self.classes = np.array([k if k < self.own else self.hashed(w) for k, (w, _) in enumerate(frequent)] + [-1], np.int16)
+        self.counts = np.array([c for _, c in frequent] + [0], np.float64)
 
     def hashed(self, w: bytes) -> int:
         return self.own + zlib.crc32(w[-2:]) % self.shared
 
-    def ids(self, ws: list[bytes]) -> list[int]:
-        known, hashed = self.known, self.hashed
-        return [k[0] if (k := known.get(w)) is not None else hashed(w) for w in ws]
+    def encode(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Of texts' tokens in a row: place among the frequent (-1: none) and class; where the others are, and what they are."""
+        n = sum(map(len, texts))
+        place = np.fromiter(map(self.place.get, chain.from_iterable(texts), repeat(-1)), np.int32, n)
+        classes = self.classes[place]
+        other = np.flatnonzero(place < 0)
+        if len(other):
+            flat = list(chain.from_iterable(texts))
+            rest = [flat[k] for k in other.tolist()]
+            own, shared, crc = self.own, self.shared, zlib.crc32
+            classes[other] = [own + crc(w[-2:]) % shared for w in rest]
+            return place, classes, other, rest
+        return place, classes, other, []
 
 
 class Model:
@@ -82,10 +95,18 @@ class Model:
         return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
 
 
+def _scatter(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """``to[at] += rows``, equal places together."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    to[at[begin]] += np.add.reduceat(rows[order], begin, axis=0)
+
+
 class Trainer:
     """Noise-contrastive estimation with Adagrad; noise is drawn from the unigram and shared by a batch."""
 
-    def __init__(self, model: Model, noise: np.ndarray, k: int = 64, rate: float = 0.08, batch: int = 2048, seed: int = 11):
+    def __init__(self, model: Model, noise: np.ndarray, k: int = 32, rate: float = 0.1, batch: int = 4096, seed: int = 11):
         self.m, self.k, self.rate, self.batch = model, k, rate, batch
         self.cut = np.cumsum(noise)[:-1]
         self.lognoise = np.log(k * noise).astype(np.float32)
@@ -93,10 +114,6 @@ class Trainer:
         self.seen = 0
         self.sq = [np.full(s, 1e-3, np.float32) for s in model.shapes]
 
-    def _step(self, x, g, sq):
-        sq += g * g
-        x += self.rate * g / np.sqrt(sq)
-
     def train(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> None:
         order = self.rng.permutation(len(w))
         for a in range(0, len(w), self.batch):
@@ -105,38 +122,35 @@ class Trainer:
         self.seen += len(w)
 
     def _one(self, w1, w2, w):
-        m = self.m
-        noise = np.searchsorted(self.cut, self.rng.random(self.k))
+        m, n = self.m, np.float32(len(w))
+        noise = np.searchsorted(self.cut, self.rng.random(self.k)).astype(np.int16)
         r1, r2 = m.r[w1], m.r[w2]
         h = r1 @ m.c1 + r2 @ m.c2
         qw, qn = m.q[w], m.q[noise]
         sd = np.einsum("ij,ij->i", h, qw) + m.b[w] - self.lognoise[w]
-        sn = h @ qn.T + m.b[noise] - self.lognoise[noise]
-        gd = (1 / (1 + np.exp(np.clip(sd, -30, 30)))) / len(w)
-        gn = -(1 / (1 + np.exp(-np.clip(sn, -30, 30)))) / len(w)
+        sn = h @ qn.T + (m.b[noise] - self.lognoise[noise])
+        gd = 1 / ((1 + np.exp(np.clip(sd, -30, 30))) * n)
+        gn = -1 / ((1 + np.exp(-np.clip(sn, -30, 30))) * n)
         dh = gd[:, None] * qw + gn @ qn
         dq, dr, db = np.zeros_like(m.q), np.zeros_like(m.r), np.zeros_like(m.b)
-        np.add.at(dq, w, gd[:, None] * h)
-        np.add.at(dq, noise, gn.T @ h)
-        np.add.at(db, w, gd)
-        np.add.at(db, noise, gn.sum(axis=0))
-        np.add.at(dr, w1, dh @ m.c1.T)
-        np.add.at(dr, w2, dh @ m.c2.T)
+        _scatter(dq, w, gd[:, None] * h)
+        _scatter(dq, noise, gn.T @ h)
+        db += np.bincount(w, gd, len(db))
+        _scatter(db, noise, gn.sum(axis=0))
+        _scatter(dr, w1, dh @ m.c1.T)
+        _scatter(dr, w2, dh @ m.c2.T)
         for x, g, sq in zip((m.r, m.q, m.b, m.c1, m.c2), (dr, dq, db, r1.T @ dh, r2.T @ dh), self.sq):
-            self._step(x, g, sq)
+            sq += g * g
+            x += self.rate * g / np.sqrt(sq)
 
 
-def _contexts(seqs: list[list[int]], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(w1, w2, w) of all places of all sequences."""
-    w = np.fromiter((c for s in seqs for c in s), np.int64, sum(map(len, seqs)))
-    w1 = np.r_[start, w[:-1]]
-    w2 = np.r_[start, start, w[:-2]][: len(w)]
-    begin = np.cumsum([0, *map(len, seqs[:-1])])
-    w1[begin] = start
-    w2[begin] = start
-    second = begin[[len(s) > 1 for s in seqs]] + 1
-    w2[second] = start
-    return w1, w2, w
+def _contexts(w: np.ndarray, sizes: list[int], start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens one and two before each of ``w``, which holds texts of these sizes in a row, none of them empty."""
+    begin = np.cumsum([0, *sizes[:-1]])
+    w1, w2 = np.roll(w, 1), np.roll(w, 2)
+    w1[begin] = w2[begin] = start
+    w2[begin[np.asarray(sizes) > 1] + 1] = start
+    return w1, w2
 
 
 def count_tokens(texts: DataFrame, text: str = "_text", most: int = 300_000) -> DataFrame:
@@ -162,7 +176,7 @@ def count_tokens(texts: DataFrame, text: str = "_text", most: int = 300_000) ->
     return map_rows(texts.select(text), "token binary, n long", make).groupBy("token").agg(F.sum("n").alias("c"))
 
 
-def score(train: DataFrame, docs: DataFrame, own: int = 384, shared: int = 128, d: int = 16, most: int = 200_000, longest: int = 64) -> DataFrame:
+def score(train: DataFrame, docs: DataFrame, own: int = 384, shared: int = 128, d: int = 16, most: int = 120_000, longest: int = 64) -> DataFrame:
     """Adds to ``docs`` (with ``_text``): n_tokens, n_known, train_tokens, base_score and score, both log10.
 
     Learns from ``train`` (with ``_text``). Null and empty texts are one end.
@@ -173,8 +187,9 @@ def score(train: DataFrame, docs: DataFrame, own: int = 384, shared: int = 128,
     scratch = Scratch(spark, "lm")
     counts = scratch.table(count_tokens(train), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.octet_length("token") <= longest).orderBy(F.desc("c"), "token").limit(most).collect()
-    frequent = [(bytes(r.token), r.c) for r in top]
+    top = heaviest(counts.where(F.octet_length("token") <= longest), "c", most).toArrow()
+    frequent = sorted(zip(top["token"].to_pylist(), top["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
+    del top
     classes = Classes(frequent, own, shared)
     # counts and sizes of the shared classes: at most ``shared`` rows
     own_words = spark.createDataFrame([(bytearray(w),) for w, _ in frequent[: classes.own]], "token binary")
@@ -227,21 +242,21 @@ def _train(train: DataFrame, sent, chunk: int = 100_000) -> Model:
     def make():
         classes, model = _setup(sent)
         trainer = Trainer(model, _worker()["noise"])
-        end = classes.ids([END])
         seqs: list = []
         have = 0
 
         def flush():
             nonlocal have
             if have:
-                trainer.train(*_contexts(seqs, classes.start))
+                _, w, _, _ = classes.encode(seqs)
+                trainer.train(*_contexts(w, list(map(len, seqs)), classes.start), w)
             seqs.clear()
             have = 0
 
         def each(cols):
             nonlocal have
             for x in cols["_text"]:
-                seqs.append(classes.ids(words(x)) + end)
+                seqs.append([*words(x), END])
                 have += len(seqs[-1])
                 if have >= chunk:
                     flush()
@@ -278,39 +293,49 @@ def _score(docs: DataFrame, sent, params) -> DataFrame:
         classes, model = _setup(sent)
         model.load(params.value)
         mine = _worker()
-        shared_log, known, n1 = mine["shared_log"], classes.known, classes.size + 1
+        shared_log, n1 = mine["shared_log"], classes.size + 1
         rc1, rc2 = model.r @ model.c1, model.r @ model.c2
         if mine.get("z_of") is not params.value:
             mine.update(z_of=params.value, z=np.full(n1 * n1, np.nan, np.float32))
         z = mine["z"]
-        end = classes.ids([END])
-        end_c = known[END][1] if END in known else 0
+        log_count = np.log10(classes.counts + 1)
+
+        def some(texts, out):
+            """Appends the figures of some texts, taken together."""
+            sizes = list(map(len, texts))
+            begin = np.cumsum([0, *sizes[:-1]])
+            place, w, other, rest = classes.encode(texts)
+            w1, w2 = _contexts(w, sizes, classes.start)
+            ctx = w1.astype(np.int64) * n1 + w2
+            new = np.unique(ctx[np.isnan(z[ctx])])
+            for k in range(0, len(new), 4096):
+                part = new[k : k + 4096]
+                s = (rc1[part // n1] + rc2[part % n1]) @ model.q.T + model.b
+                top = s.max(axis=1)
+                z[part] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+            raw = np.einsum("ij,ij->i", rc1[w1] + rc2[w2], model.q[w]) + model.b[w] - z[ctx]
+            logs = log_count[place]
+            add = lambda x: np.add.reduceat(x, begin)
+            out["n_tokens"] += sizes
+            out["n_known"] += add((classes.counts[place] > 0).astype(np.int64)).tolist()
+            out["_log_c"] += add(logs).tolist()
+            out["_own_log_c"] += add(np.where(w < classes.own, logs, 0.0)).tolist()
+            out["_class_log"] += add(raw.astype(np.float64) / np.log(10) - shared_log[w]).tolist()
+            edge = np.searchsorted(other, [*begin, len(w)]).tolist()
+            out["_rare"] += [[{"token": t, "n": n} for t, n in Counter(rest[a:b]).items()] for a, b in zip(edge[:-1], edge[1:])]
 
         def each(cols):
             out: dict = {f.name: cols[f.name] for f in passed}
             out |= {k: [] for k in ("n_tokens", "n_known", "_log_c", "_own_log_c", "_class_log", "_rare")}
+            held, have = [], 0
             for x in cols["_text"]:
-                ws = words(x)
-                got = list(map(known.get, ws))
-                ids = [g[0] if g is not None else classes.hashed(w) for g, w in zip(got, ws)] + end
-                cs = np.array([g[1] if g is not None else 0 for g in got] + [end_c], np.float64)
-                rare = Counter(w for g, w in zip(got, ws) if g is None)
-                w1, w2, w = _contexts([ids], classes.start)
-                ctx = w1 * n1 + w2
-                new = np.unique(ctx[np.isnan(z[ctx])])
-                for k in range(0, len(new), 4096):
-                    part = new[k : k + 4096]
-                    s = (rc1[part // n1] + rc2[part % n1]) @ model.q.T + model.b
-                    top = s.max(axis=1)
-                    z[part] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-                raw = np.einsum("ij,ij->i", rc1[w1] + rc2[w2], model.q[w]) + model.b[w] - z[ctx]
-                logs = np.log10(cs + 1)
-                out["n_tokens"].append(len(w))
-                out["n_known"].append(int((cs > 0).sum()))
-                out["_log_c"].append(float(logs.sum()))
-                out["_own_log_c"].append(float(logs[w < classes.own].sum()))
-                out["_class_log"].append(float(raw.sum(dtype=np.float64) / np.log(10) - shared_log[w].sum()))
-                out["_rare"].append([{"token": t, "n": k} for t, k in rare.items()])
+                held.append([*words(x), END])
+                have += len(held[-1])
+                if have >= 100_000:
+                    some(held, out)
+                    held, have = [], 0
+            if held:
+                some(held, out)
             return out
 
         return each

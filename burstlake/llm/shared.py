@@ -85,3 +85,19 @@ def map_rows(df: DataFrame, schema: str | T.StructType, make: Callable[[], Calla
 def word_count(text: str) -> "F.Column":
     """Words of a text column, on the JVM; null has none."""
     return F.coalesce(F.expr(f"regexp_count({text}, '[^\\\\x20\\\\x09-\\\\x0D]+')"), F.lit(0)).cast("long")
+
+
+def heaviest(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of largest ``n``, ``most`` at most: ties beyond are left out together.
+
+    The limit comes from a histogram with a bounded number of bins (an eighth of
+    a power of two each), so nothing is sorted and no task sends its own top rows.
+    """
+    bin_ = F.floor(F.log2(F.col(n).cast("double")) * 8)
+    room, least = most, None
+    for r in sorted(counts.where(F.col(n) > 0).groupBy(bin_.alias("bin")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r.bin):
+        room -= r.k
+        if room < 0:
+            break
+        least = r.bin
+    return counts.where(F.lit(False) if least is None else (F.col(n) > 0) & (bin_ >= least))

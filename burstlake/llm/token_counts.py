@@ -17,7 +17,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_rows
+from .shared import Scratch, heaviest, map_rows
 
 #: Where one text can be cut without changing any token. Python's \S is the narrower class, so a cut is always safe.
 _CUT = re.compile(r" (?=\S)")
@@ -44,7 +44,7 @@ def _tokenizer(path: str):
 
 
 def frequent_runs(docs: DataFrame, text: str = "text", most: int = 65_536, per_task: int = 8_192, longest: int = 64) -> list[str]:
-    """The ``most`` heaviest runs of the corpus, at most; runs over ``longest`` characters never count as frequent.
+    """The heaviest runs of the corpus, ``most`` at most; runs over ``longest`` characters never count as frequent.
 
     A task's counter is cut back to its heaviest half at 32 * ``per_task`` runs,
     so its memory is bounded. A run that this misses costs time, not results.
@@ -69,7 +69,11 @@ def frequent_runs(docs: DataFrame, text: str = "text", most: int = 65_536, per_t
         return each
 
     heavy = map_rows(docs.select(text), "run string, n long", make)
-    return [r.run for r in heavy.groupBy("run").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "run").limit(most).collect()]
+    scratch = Scratch(docs.sparkSession, "runs")
+    heavy = scratch.table(heavy.groupBy("run").agg(F.sum("n").alias("n")), "heavy")
+    runs = sorted(heaviest(heavy, "n", most).select("run").toArrow()["run"].to_pylist())
+    scratch.drop()
+    return runs
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text: str = "text", most: int = 65_536, cache: int = 400_000) -> DataFrame:

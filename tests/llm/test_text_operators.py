@@ -185,9 +185,9 @@ def test_lm_is_normalised():
     p = np.exp(m.log_probabilities(np.array([0, 30]), np.array([3, 30]))).sum(axis=1)
     assert np.allclose(p, 1, atol=1e-5)
     t = lm.Trainer(m, noise)
-    w = np.tile([1, 2, 3], 4000)
-    for _ in range(5):
-        t.train(np.r_[30, w[:-1]], np.r_[30, 30, w[:-2]], w)
+    w = np.tile([1, 2, 3], 4000).astype(np.int16)
+    for _ in range(20):
+        t.train(*lm._contexts(w, [len(w)], 30), w)
     assert m.log_probabilities(np.array([1]), np.array([3]))[0].argmax() == 2
 
 
