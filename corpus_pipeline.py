@@ -22,10 +22,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class the document with the smallest id, and of repeated rows with that id one."""
+    """Keeps of each class the document with the smallest id, and of rows repeated whole one."""
     ids = ngram_join.ngram_join(docs).where("doc_id = class_id or doc_id is null").select("doc_id").distinct()
     kept = docs.join(ids.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
