@@ -154,7 +154,8 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: floa
     members = members.join(size, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = scratch.table(members.select("root", "node", "copies", "rid", "block", "blocks"), "members")
     wanted = members.select(F.col("rid").alias("w_rid"), "root", "node", "copies", "block", "blocks")
-    texts = rows.select("rid", "_text").join(wanted, F.col("rid") == F.col("w_rid")).dropDuplicates(["node"])
+    # Merged at every size, so that small inputs are planned as large ones have to be.
+    texts = rows.select("rid", "_text").join(wanted.hint("merge"), F.col("rid") == F.col("w_rid")).dropDuplicates(["node"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = texts.select("root", "node", "copies", "block", "_text", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
     verified = units.groupBy("root", "i", "j").applyInPandas(_verify(threshold, n), "node long, links long, root long")
