@@ -120,3 +120,21 @@ def subject(faces: Column, w: Column, h: Column, least: int = 32, edge: int = 2)
     pool = F.when(F.size(inner) > 0, inner).otherwise(wide)
     ranked = F.array_sort(F.transform(pool, lambda f, i: F.struct((-score(f)).alias("s"), i.alias("i"), f.alias("f"))))
     return F.get(ranked, F.lit(0))["f"]
+
+
+def elided(s: Column, width: int, mark: str = "…") -> Column:
+    """A string of over ``width`` characters ends in ``mark`` instead; one character stays at least."""
+    return F.when(F.char_length(s) <= width, s).otherwise(F.concat(F.left(s, F.lit(max(1, width - 1))), F.lit(mark)))
+
+
+def display_pitch(canvas: Column, display: Column, dot: float = 4.0, least: float = 2.5) -> Column:
+    """The screen's pitch in canvas pixels for a dot of ``dot`` pixels on display; null for sizes that aren't positive."""
+    scale = F.greatest(canvas.cast("double") / F.when(display > 0, display), F.lit(1.0))
+    return F.when((canvas > 0) & (display > 0), F.greatest(F.lit(least), dot * scale))
+
+
+def preview_share(w: Column, h: Column, raw_w: Column, raw_h: Column, subsampled: Column) -> Column:
+    """The share of the frame that the best preview has; 0 where a size is unknown or the raw data is subsampled."""
+    area = (F.coalesce(raw_w, F.lit(0)) * F.coalesce(raw_h, F.lit(0))).cast("double")
+    share = (w * h).cast("double") / F.when(area > 0, area)
+    return F.when(F.coalesce(subsampled, F.lit(False)), 0.0).otherwise(F.coalesce(share, F.lit(0.0)))

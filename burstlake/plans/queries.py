@@ -424,3 +424,18 @@ def only_problems(spark, sf_dir):
 def conversation_totals(spark, sf_dir):
     """A2 on ordered turns."""
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("asked"), F.max(F.length("text")).alias("longest"))
+
+
+@query("SELECT page_id, CASE WHEN length(url) <= 24 THEN url ELSE left(url, 23) || '…' END AS shown FROM pages")
+def elided_names(spark, sf_dir):
+    """X9."""
+    return table(spark, sf_dir, "pages").select("page_id", S.elided(F.col("url"), 24).alias("shown"))
+
+
+@query("""SELECT p_partkey, greatest(2.5::DOUBLE, 4.0::DOUBLE * greatest((p_partkey % 4000 + 1)::DOUBLE / (p_size * 20), 1.0::DOUBLE)) AS pitch,
+ CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN 0.0::DOUBLE ELSE (p_size * (p_size + 1))::DOUBLE / (60 * (p_partkey % 7)) END AS share FROM part""")
+def pitch_and_preview_share(spark, sf_dir):
+    """X14, and the share of X7."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    share = S.preview_share(size, size + 1, F.lit(60), key % 7, key % 5 == 0)
+    return table(spark, sf_dir, "part").select("p_partkey", S.display_pitch(key % 4000 + 1, size * 20).alias("pitch"), share.alias("share"))
