@@ -115,3 +115,38 @@ def test_session_bursts(spark):
     at = datetime.datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, at + datetime.timedelta(seconds=s), float(s)) for s in (0, 8, 17)], "shoot_id long, ts timestamp, sharpness double")
     assert [r.n for r in session_bursts(df).orderBy("start").collect()] == [2, 1]
+
+
+def a_recipe(*blocks):
+    body = b"".join(struct.pack(">II", kind, len(data)) + data for kind, data in blocks)
+    size = struct.pack(">I", len(body))
+    return cr2.TRAILER + bytes(4) + size + body + cr2.TRAILER + size + bytes(40)
+
+
+def test_recipe_trailer():
+    item = lambda tag, data, more: cr2.ITEM + bytes(4) + struct.pack("<3I", tag, len(data), more) + data
+    items = item(3, a_jpeg(16, 12), 1) + item(4, a_jpeg(1600, 1200, pad=b"\0" * 7), 0) + item(3, b"behind the last", 0)
+    got = cr2.probe(a_cr2() + a_recipe((0xFFFF00F7, b"abc"), (0xFFFF00F5, items)))
+    assert got["has_dpp_recipe"] and got["recipe_blocks"] == ["dpp4", "ihl"] and "DPP 4" in got["recipe_hint"] and "own" in got["recipe_hint"]
+    assert [(p["source"], p["width"]) for p in got["previews"]] == [("ifd0", 1936), ("vrd_ihl", 1600), ("ifd1", 160), ("vrd_ihl_thumb", 16)]
+    plain = cr2.probe(a_cr2())
+    assert not plain["has_dpp_recipe"] and plain["recipe_blocks"] == [] and plain["recipe_hint"].startswith("no recipe")
+    short = a_recipe((0xFFFF00F4, b"abc"))
+    assert cr2.recipe_trailer(short)[0] == ["dpp3"] and cr2.recipe_trailer(short[1:]) == (None, []) and cr2.recipe_trailer(b"") == (None, [])
+    assert "Photo Professional" in cr2.recipe_hint(None, False, "Digital Photo Professional")
+
+
+@pytest.mark.parametrize("parts,slices,want", [([0x11, 0x11], None, (200, 48, False)), ([0x11, 0x11], (1, 90, 100), (190, 48, False)), ([0x21, 0x11, 0x11], None, (100, 48, True)), ([0x12, 0x11], None, (100, 48, True)), ([], None, (0, 0, False))])
+def test_raw_size(parts, slices, want):
+    head = b"\xff\xd8\xff\xc3" + struct.pack(">HBHHB", 8 + 3 * len(parts), 14, 48, 100, len(parts)) + b"".join(bytes([k, v, 0]) for k, v in enumerate(parts))
+    data = b"II*\0\x10\0\0\0" + bytes(100) + (head if parts else b"none" * 8) + bytes(20)
+    t = cr2.Tiff(data + struct.pack("<3H", *(slices or (0, 0, 0))) + struct.pack("<2I", 108, len(head) + 8))
+    end = len(t.data)
+    entries = {cr2.STRIP: (4, 1, end - 8), cr2.STRIP_SIZE: (4, 1, end - 4)} | ({cr2.SLICES: (3, 3, end - 14)} if slices else {})
+    assert cr2.raw_size(t, entries) == want
+
+
+def test_visible_size():
+    v = [17, 4000, 3000, 0, 0, 10, 20, 3909, 2619]
+    t = cr2.Tiff(b"II*\0\x10\0\0\0" + bytes(40) + struct.pack("<9H", *v))
+    assert cr2.visible_size(t, {cr2.SENSOR: (3, 9, 48)}) == (3900, 2600) and cr2.visible_size(t, {cr2.SENSOR: (3, 5, 48)}) == (0, 0) and cr2.visible_size(t, {}) == (0, 0)
