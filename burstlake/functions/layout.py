@@ -56,3 +56,34 @@ def balance_warnings() -> Column:
 def stale_part(name: Column, age_s: Column, least: float = 3600.0) -> Column:
     """A writer's leftover that is old enough to be nobody's."""
     return name.rlike(r"(?i)^.+\.jpg\.[0-9a-f]+\.tmp$") & (age_s >= least)
+
+
+def cover_crop(w: Column, h: Column, out_w: Column, out_h: Column, face: Column | None = None, fill: float = 0.0, most: float = 1.0, head: float = 0.40, focus: tuple = (0.5, 0.42)) -> Column:
+    """left, top, right, bottom of the part that fills a block.
+
+    Around ``face`` (left, top, right, bottom) if it has two pixels a side: whole if it fits, its centre at ``head`` of the
+    height, nearer by at most ``most`` so that it takes ``fill`` of the width. Otherwise around ``focus``. Null for sizes that
+    aren't positive.
+    """
+    within = lambda v, low, high: F.least(F.greatest(v, low), high)
+    zero, ratio = F.lit(0.0), out_w.cast("double") / F.when(out_h > 0, out_h)
+    sides = (F.least(w.cast("double"), h * ratio), F.least(h.cast("double"), w / ratio))
+    spots = [focus[0] * w - sides[0] / 2, focus[1] * h - sides[1] / 2]
+    if face is not None:
+        given = [face[n].isNotNull() for n in ("left", "top", "right", "bottom")]
+        x, y = [[within(face[n].cast("double"), zero, side.cast("double")) for n in ends] for ends, side in ((("left", "right"), w), (("top", "bottom"), h))]
+        x, y = [(F.least(*e), F.greatest(*e)) for e in (x, y)]
+        usable = F.coalesce((x[1] - x[0] >= 2) & (y[1] - y[0] >= 2) & given[0] & given[1] & given[2] & given[3], F.lit(False))
+        zoom = F.lit(1.0)
+        if fill > 0 and most > 1:
+            wide = x[1] - x[0]
+            zoom = F.least(within(sides[0] / F.greatest(wide / fill, F.lit(1.0)), F.lit(1.0), F.lit(float(most))), F.greatest(F.lit(1.0), 0.6 * sides[0] / F.greatest(wide, F.lit(1.0))))
+        near = [s / zoom for s in sides]
+        placed = [(x[0] + x[1]) / 2 - near[0] / 2, (y[0] + y[1]) / 2 - head * near[1]]
+        placed = [F.when(e[1] - e[0] <= n, F.least(F.greatest(p, e[1] - n), e[0])).otherwise(p) for p, e, n in zip(placed, (x, y), near)]
+        spots = [F.when(usable, p).otherwise(s) for p, s in zip(placed, spots)]
+        sides = [F.when(usable, n).otherwise(s) for n, s in zip(near, sides)]
+    left, top = within(spots[0], zero, w - sides[0]), within(spots[1], zero, h - sides[1])
+    whole = lambda v: F.bround(v, 0).cast("int")
+    box = F.struct(whole(left).alias("left"), whole(top).alias("top"), whole(F.least(left + sides[0], w)).alias("right"), whole(F.least(top + sides[1], h)).alias("bottom"))
+    return F.when((w > 0) & (h > 0) & (out_w > 0) & (out_h > 0), box)

@@ -138,3 +138,75 @@ def preview_share(w: Column, h: Column, raw_w: Column, raw_h: Column, subsampled
     area = (F.coalesce(raw_w, F.lit(0)) * F.coalesce(raw_h, F.lit(0))).cast("double")
     share = (w * h).cast("double") / F.when(area > 0, area)
     return F.when(F.coalesce(subsampled, F.lit(False)), 0.0).otherwise(F.coalesce(share, F.lit(0.0)))
+
+
+# Latin letters for Cyrillic ones, and plain signs for typographic ones.
+LETTERS = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y",
+    "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f",
+    "х": "h", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+}
+SIGNS = {"«": '"', "»": '"', "„": '"', "“": '"', "”": '"', "‘": "'", "’": "'", "—": "-", "–": "-", "‑": "-", "−": "-", "…": "...", "×": "x", "→": "->", "№": "N", "•": "*", "─": "-"}
+STYLES = ("bold", "regular", "medium", "semibold", "light", "black", "italic")
+
+
+def folding() -> tuple[str, str, dict[str, str]]:
+    """(from, to) for single characters, and a table for those that become several; both cases of letters."""
+    table = LETTERS | {k.upper(): v.capitalize() for k, v in LETTERS.items() if v} | SIGNS
+    single = {k: v for k, v in table.items() if len(v) == 1}
+    gone = "".join(k for k, v in table.items() if not v)
+    return "".join(single) + gone, "".join(single.values()), {k: v for k, v in table.items() if len(v) > 1}
+
+
+def folded(s: Column) -> Column:
+    """Cyrillic and typography in ASCII; other characters stay."""
+    source, target, several = folding()
+    s = F.translate(s, source, target)
+    for k, v in several.items():
+        s = F.replace(s, F.lit(k), F.lit(v))
+    return s
+
+
+def status_tag(error: Column, skipped: Column, recipe: Column, share: Column, by_raw: Column, least: float = 0.4) -> Column:
+    """Skipped, error, warn or ok; an unknown share warns of nothing."""
+    small = (share > 0) & (share < least)
+    return F.when(skipped, "skipped").when(error.isNotNull(), "error").when(recipe | small | by_raw, "warn").otherwise("ok")
+
+
+def short_family(family: Column) -> Column:
+    """A font's family without the names of styles behind it; its first word stays."""
+    words = F.trim(F.regexp_replace(F.coalesce(family, F.lit("")), r"\s+", " "))
+    return F.regexp_replace(words, rf"(?i)(?<=\S)( ({'|'.join(STYLES)}))+$", "")
+
+
+def plain_key(s: Column) -> Column:
+    """Letters and digits alone, in lower case."""
+    return F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", "")
+
+
+def path_key(path: Column, folds: bool = True) -> Column:
+    """What two spellings of a path share: doubled and trailing slashes, ``.``, and case where the volume folds it.
+
+    Destinations fold (a needless rename costs a name), inputs don't (a needless merge loses a file).
+    """
+    p = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"/(\./)+", "/"), r"//+", "/"), r"(?<=.)/\.?$", "")
+    return F.lower(p) if folds else p
+
+
+def share_setting(json: Column, key: str, default: float) -> Column:
+    """A percentage in a JSON text as 0..1, clamped; the default where it is missing or no number."""
+    v = F.get_json_object(json, f"$.{key}").try_cast("double")
+    known = v.isNotNull() & ~F.isnan(v)
+    return F.when(known, F.least(F.greatest(v, F.lit(0.0)), F.lit(100.0)) / 100).otherwise(F.lit(default))
+
+
+def smoothstep(x: Column, low: float, high: float) -> Column:
+    """0 to 1 without corners; null for null."""
+    t = F.least(F.greatest((x - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+    return F.when(x.isNotNull(), t * t * (3 - 2 * t))
+
+
+def exposure(median: Column, strength: Column, mid: tuple = (0.46, 0.58), lift: float = 2.0, darken: float = -0.15) -> Column:
+    """The curve parameter that moves a median to the middle band; null for null."""
+    goal = median + (F.least(F.greatest(median, F.lit(mid[0])), F.lit(mid[1])) - median) * strength
+    return F.when(median < 1e-3, strength * lift).when(median.isNotNull(), F.least(F.greatest((goal - median) / (median * (1 - goal)), F.lit(darken)), F.lit(lift)))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import halftone, tone, wrapping
+from ..functions import layout as L
 from ..functions import scalars as S
 from ..operators import bursts as B
 from ..operators import relate as R
@@ -18,6 +20,10 @@ from .bindings import FILES_SQL, FRAMES_SQL, files, frames, table
 GAP, BREAK, NEAR = 14_400.0, 86_400.0, 3_600.0
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_SINGLE, _PLAIN, _SEVERAL = S.folding()
+_FOLDED = f"translate(text, '{_SINGLE}', '{_PLAIN.replace(chr(39), chr(39) * 2)}')"
+for _k, _v in _SEVERAL.items():
+    _FOLDED = f"replace({_FOLDED}, '{_k}', '{_v}')"
 _BURSTS = f"""{FRAMES_SQL}, lagged AS (SELECT *, t - lag(t) OVER w AS gap FROM frames WINDOW w AS (PARTITION BY shoot_id ORDER BY t, frame_id)),
  b AS (SELECT *, sum(CASE WHEN gap >= 0 AND gap <= {GAP} THEN 0 ELSE 1 END) OVER (PARTITION BY shoot_id ORDER BY t, frame_id ROWS UNBOUNDED PRECEDING) - 1 AS burst_id FROM lagged)"""
 _SEGMENTS = f"""{FRAMES_SQL}, s AS (SELECT *, sum(CASE WHEN gap < {BREAK} THEN 0 ELSE 1 END) OVER (PARTITION BY shoot_id ORDER BY t, frame_id ROWS UNBOUNDED PRECEDING) - 1 AS segment_id
@@ -439,3 +445,101 @@ def pitch_and_preview_share(spark, sf_dir):
     key, size = F.col("p_partkey"), F.col("p_size")
     share = S.preview_share(size, size + 1, F.lit(60), key % 7, key % 5 == 0)
     return table(spark, sf_dir, "part").select("p_partkey", S.display_pitch(key % 4000 + 1, size * 20).alias("pitch"), share.alias("share"))
+
+
+@query(f"SELECT doc_id, md5({_FOLDED}) AS folded FROM documents")
+def ascii_text(spark, sf_dir):
+    """Whole texts in plain letters and signs."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(S.folded(F.col("text"))).alias("folded"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'skipped' WHEN p_partkey % 7 = 0 THEN 'error'
+ WHEN p_partkey % 5 = 0 OR (share > 0 AND share < 0.4) OR p_partkey % 13 = 0 THEN 'warn' ELSE 'ok' END AS tag FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS share FROM part)""")
+def status_tags(spark, sf_dir):
+    """X7, P6."""
+    k = F.col("p_partkey")
+    tag = S.status_tag(F.when(k % 7 == 0, "broken"), k % 11 == 0, k % 5 == 0, F.col("p_size") / 50.0, k % 13 == 0)
+    return table(spark, sf_dir, "part").select("p_partkey", tag.alias("tag"))
+
+
+@query("SELECT p_partkey, regexp_replace(f, '^(.*?[^ ])( (bold|regular|medium|semibold|light|black|italic))+$', '\\1', 'i') AS family, regexp_replace(lower(f), '[^\\p{L}\\p{N}]+', '', 'g') AS name_key FROM (SELECT p_partkey, p_brand || CASE p_partkey % 3 WHEN 0 THEN ' Bold' WHEN 1 THEN ' Light Italic' ELSE ' Sans' END AS f FROM part)")
+def font_families(spark, sf_dir):
+    """X22."""
+    k = F.col("p_partkey") % 3
+    f = F.concat("p_brand", F.when(k == 0, " Bold").when(k == 1, " Light  Italic").otherwise(" Sans"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.short_family(f).alias("family"), S.plain_key(f).alias("name_key"))
+
+
+@query("SELECT path_key, count(*) AS n FROM (SELECT lower(dir || '/' || stem || '.' || ext) AS path_key FROM files) GROUP BY 1".join([f"WITH {FILES_SQL} ", ""]))
+def path_keys(spark, sf_dir):
+    """Spellings of one destination."""
+    odd = F.concat("dir", F.when(F.col("pos") % 2 == 0, "//").otherwise("/./"), "stem", F.lit("."), "ext")
+    return files(spark, sf_dir).groupBy(S.path_key(odd).alias("path_key")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, coalesce(least(greatest(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0), 100) / 100, 0.6::DOUBLE) AS strength, 1.0::DOUBLE AS missing FROM events")
+def settings_values(spark, sf_dir):
+    """Settings from JSON with defaults and limits."""
+    return table(spark, sf_dir, "events").select("event_id", S.share_setting(F.col("props"), "k", 0.6).alias("strength"), S.share_setting(F.col("props"), "nothing", 1.0).alias("missing"))
+
+
+@query("""SELECT event_id, round(CASE WHEN m < 0.001 THEN 0.6::DOUBLE * 2 ELSE least(greatest((goal - m) / (m * (1 - goal)), -0.15::DOUBLE), 2.0::DOUBLE) END, 9) AS lift, round(t * t * (3 - 2 * t), 9) AS eased FROM
+ (SELECT event_id, m, m + (least(greatest(m, 0.46::DOUBLE), 0.58::DOUBLE) - m) * 0.6::DOUBLE AS goal, least(greatest((m - 0.2::DOUBLE) / 0.6::DOUBLE, 0), 1) AS t FROM (SELECT event_id, value / (value + 10) AS m FROM events))""")
+def exposure_parameters(spark, sf_dir):
+    """X18."""
+    m = F.col("value") / (F.col("value") + 10)
+    return table(spark, sf_dir, "events").select("event_id", F.round(S.exposure(m, F.lit(0.6)), 9).alias("lift"), F.round(S.smoothstep(m, 0.2, 0.8), 9).alias("eased"))
+
+
+@query("""WITH s AS (SELECT p_partkey, (p_partkey % 900 + 100)::DOUBLE AS w, (p_size * 13 + 50)::DOUBLE AS h, p_partkey % 4 <> 0 AS faced FROM part),
+ c AS (SELECT *, least(w, h * 16 / 9) AS cw0, least(h, w / (16.0::DOUBLE / 9)) AS ch0, w * 0.4::DOUBLE AS fl, w * 0.4::DOUBLE + h / 9 AS fr, h * 0.2::DOUBLE AS ft, h * 0.5::DOUBLE AS fb FROM s),
+ z AS (SELECT *, CASE WHEN faced THEN least(least(greatest(cw0 / greatest((fr - fl) / 0.3::DOUBLE, 1.0::DOUBLE), 1.0::DOUBLE), 1.8::DOUBLE), greatest(1.0::DOUBLE, 0.6::DOUBLE * cw0 / greatest(fr - fl, 1.0::DOUBLE))) ELSE 1.0::DOUBLE END AS zoom FROM c),
+ n AS (SELECT *, cw0 / zoom AS cw, ch0 / zoom AS ch FROM z),
+ q AS (SELECT *, CASE WHEN faced THEN CASE WHEN fr - fl <= cw THEN least(greatest((fl + fr) / 2 - cw / 2, fr - cw), fl) ELSE (fl + fr) / 2 - cw / 2 END ELSE 0.5::DOUBLE * w - cw / 2 END AS px,
+ CASE WHEN faced THEN CASE WHEN fb - ft <= ch THEN least(greatest((ft + fb) / 2 - 0.4::DOUBLE * ch, fb - ch), ft) ELSE (ft + fb) / 2 - 0.4::DOUBLE * ch END ELSE 0.42::DOUBLE * h - ch / 2 END AS py FROM n),
+ r AS (SELECT p_partkey, w, h, cw, ch, least(greatest(px, 0), w - cw) AS x, least(greatest(py, 0), h - ch) AS y FROM q)
+ SELECT p_partkey, CAST(round_even(x, 0) AS INT) AS x0, CAST(round_even(y, 0) AS INT) AS y0, CAST(round_even(least(x + cw, w), 0) AS INT) AS x1, CAST(round_even(least(y + ch, h), 0) AS INT) AS y1 FROM r""")
+def crop_boxes(spark, sf_dir):
+    """A wide block's part of a frame, around the face if there is one."""
+    df = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 900 + 100).cast("double").alias("w"), (F.col("p_size") * 13 + 50).cast("double").alias("h"))
+    w, h = F.col("w"), F.col("h")
+    face = F.when(F.col("p_partkey") % 4 != 0, F.struct((w * 0.4).alias("left"), (h * 0.2).alias("top"), (w * 0.4 + h / 9).alias("right"), (h * 0.5).alias("bottom")))
+    df = df.select("p_partkey", L.cover_crop(w, h, F.lit(16), F.lit(9), face, fill=0.3, most=1.8).alias("b"))
+    return df.select("p_partkey", F.col("b.left").alias("x0"), F.col("b.top").alias("y0"), F.col("b.right").alias("x1"), F.col("b.bottom").alias("y1"))
+
+
+@query(None)
+def wrapped_texts(spark, sf_dir):
+    """Whole texts in lines of 60 characters; held against a plain version in the tests."""
+    return wrapping.wrap_texts(table(spark, sf_dir, "documents"), "doc_id", 60)
+
+
+def _pictures(spark, sf_dir):
+    """``embeddings`` as frames of 8 x 8: a value is a pixel, whose channels differ a little."""
+    level = lambda x, k: F.least(F.greatest(F.floor((x.cast("double") + 0.5) * (230 + k)), F.lit(0)), F.lit(255))
+    text = F.array_join(F.transform("embedding", lambda x: F.concat(*[F.lpad(F.hex(level(x, k)), 2, "0") for k in (0, 8, 16)])), "")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.unhex(text).alias("data"))
+
+
+def _digested(df):
+    return df.select("path", "h", "w", F.sha1("data").alias("pixels"), "error")
+
+
+@query(None)
+def processed_frames(spark, sf_dir):
+    """Corrected, then darkened towards the corners."""
+    return _digested(tone.process_frames(_pictures(spark, sf_dir), 0.6, filter_name="vignette"))
+
+
+@query(None)
+def screened_frames(spark, sf_dir):
+    """Dots of one ink on paper."""
+    paper, ink = [0.98, 0.95, 0.88], [0.6, 0.08, 0.2]
+    return _digested(tone.over_frames(_pictures(spark, sf_dir), lambda rgb: halftone.halftone(rgb, 3.0, paper, ink)))
+
+
+@query(None)
+def turned_frames(spark, sf_dir):
+    """Pixels turned as their orientation says."""
+    df = _pictures(spark, sf_dir).withColumn("orientation", (F.col("path").cast("long") % 8 + 1).cast("int"))
+    return _digested(tone.over_frames(df, lambda rgb: rgb, turned=True))
