@@ -191,6 +191,17 @@ def test_lm_is_normalised():
     assert m.log_probabilities(np.array([1]), np.array([3]))[0].argmax() == 2
 
 
+def test_lm_takes_all_its_steps():
+    import numpy as np
+
+    t = lm.Trainer(lm.Model(30, 4, np.full(30, 1 / 30)), np.full(30, 1 / 30))
+    drawn, one = [], t._one
+    t._one = lambda w1, w2, w: drawn.append(len(w)) or one(w1, w2, w)
+    w = np.tile([1, 2, 3, 4], 1024).astype(np.int16)
+    t.train(*lm._contexts(w, [len(w)], 30), w)
+    assert drawn == [2048, 2048] and (t.k, t.rate) == (64, 0.08)
+
+
 def test_empty_tables(docs_of):
     none = docs_of(["x"]).limit(0)
     import public_tokenizers
