@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RAW, JPEG = ("cr2",), ("jpg", "jpeg")
 
@@ -80,6 +81,12 @@ def three_state_sort(df: DataFrame, col: str, seq: str, state: str) -> DataFrame
     return df.orderBy(way(col), way(seq))
 
 
+def placed(df: DataFrame, place: str = "place") -> DataFrame:
+    """Rows with their place, from 1, in the order that ``df`` has; no task gets more than its part of it."""
+    rows = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
+    return df.sparkSession.createDataFrame(rows, T.StructType([*df.schema.fields, T.StructField(place, T.LongType())]), verifySchema=False)
+
+
 def with_pairs(picks: DataFrame, path: str = "path", pair: str = "pair_path", pos: str = "pos", include: bool = True) -> DataFrame:
     """Each pick, and its RAW right after it."""
     both = F.array_compact(F.array(path, pair)) if include else F.array(path)

@@ -288,11 +288,21 @@ def upsert_tail(spark, sf_dir):
 
 @query("SELECT p_partkey, p_brand, p_size, row_number() OVER (ORDER BY p_size DESC, p_partkey DESC) AS place FROM part ORDER BY p_size DESC, p_partkey DESC LIMIT 100")
 def three_state_sort(spark, sf_dir):
-    """T-5: descending turns ties as well; the first screen of 100 rows."""
+    """T-5: descending turns ties as well; the first screen of 100 rows. The whole column is three_state_sort_whole."""
     top = R.three_state_sort(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "p_size", "p_partkey", "desc").limit(100)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("p_size").desc(), F.col("p_partkey").desc())))
 
 
+@query("""SELECT 'off' AS state, p_partkey, p_brand, p_size, row_number() OVER (ORDER BY p_partkey) AS place FROM part
+ UNION ALL SELECT 'asc', p_partkey, p_brand, p_size, row_number() OVER (ORDER BY p_size, p_partkey) FROM part
+ UNION ALL SELECT 'desc', p_partkey, p_brand, p_size, row_number() OVER (ORDER BY p_size DESC, p_partkey DESC) FROM part""")
+def three_state_sort_whole(spark, sf_dir):
+    """T-5: every row's place in each state, as the operator orders them."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    off, asc, desc = (R.placed(R.three_state_sort(p, "p_size", "p_partkey", s)).withColumn("state", F.lit(s)) for s in ("off", "asc", "desc"))
+    return off.unionByName(asc).unionByName(desc).select("state", "p_partkey", "p_brand", "p_size", "place")
+
+
 @query(f"""WITH {FILES_SQL}, j AS (SELECT f.pos, f.path, (SELECT min(g.path) FROM files g WHERE g.dir = f.dir AND lower(g.stem) = lower(f.stem) AND g.ext = 'CR2') AS pair FROM files f WHERE f.ext <> 'CR2')
  SELECT pos, 0 AS nth, path AS src FROM j UNION ALL SELECT pos, 1, pair FROM j WHERE pair IS NOT NULL""")
 def export_list(spark, sf_dir):
