@@ -28,7 +28,18 @@ _card = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Words that announce an account number; compared in lower case.
 CUES = ("iban", "account", "acct")
-_iban = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_iban = re.compile(r"(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")  # starts may overlap
+#: Characters of a country's account numbers, blanks not counted.
+LENGTHS = {
+    k: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for k in countries.split()
+}
 _scheme_left = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _userinfo = re.compile(r"[^\s/@\"'<>]+@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
 _AUTOMATON: list = []
@@ -66,6 +77,23 @@ def iban_ok(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def accounts(text: str, start: int) -> list[Span]:
+    """All account numbers from ``start`` on: of their country's length or, where that's unknown, of the most whole groups that check."""
+    got: list[Span] = []
+    for m in _iban.finditer(text, start):
+        if got and m.start() < got[-1][2]:
+            continue
+        run = m.group(1)
+        places = [i for i, c in enumerate(run) if c != " "]
+        if own := LENGTHS.get(run[:2]):
+            ends = [p + 1 for p in places[own - 1 : own]]
+        else:
+            ends = [p + 1 for p in reversed(places[14:]) if run[p + 1 : p + 2] in ("", " ")]
+        if end := next((e for e in ends if iban_ok(run[:e])), None):
+            got.append(("account", m.start(), m.start() + end))
+    return got
+
+
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and spans of the further kinds: addresses with a user in them, and checked account numbers."""
     base: list[Span] = []
@@ -74,6 +102,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     dots: set[int] = set()
     starts: list[int] = []
     last_digit = -2
+    cue = None
     for at, kind in _automaton().iter(text):
         if kind == "d":
             if at != last_digit + 1:
@@ -99,9 +128,10 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
                 a -= 1
             if a < at - 2 and (m := _userinfo.match(text, at + 1)):
                 more.append(("url", a, m.end()))
-        elif m := _iban.search(text, at + 1, at + 60):
-            if iban_ok(m.group()) and ("account", *m.span()) not in more[-4:]:
-                more.append(("account", *m.span()))
+        elif cue is None:
+            cue = at + 1
+    if cue is not None:
+        more += accounts(text, cue)
     for a in starts:
         if a >= card_end and (m := _card.match(text, a)):
             card_end = m.end()

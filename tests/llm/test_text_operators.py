@@ -162,6 +162,17 @@ def test_personal(spark, sf, docs_of):
     assert {k for k, _, _ in personal_data.find(PERSONAL[4])[1]} == {"url", "account"}
 
 
+def test_accounts_are_whole():
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO9386011117947"
+    found = lambda t: [t[a:b] for k, a, b in personal_data.find(t)[1] if k == "account"]
+    assert found(f"IBAN {de} BIC COBADEFFXXX") == [de]
+    assert found(f"Account: {de}, or {gb} or {no}. iban {de}") == [de, gb, no, de]
+    assert found("iban" + " of the firm" * 20 + f": {gb}") == [gb]
+    assert found("acct" + " " * 40 + de) == found(f"IBAN{de}") == [de]
+    assert found(f"IBAN {de[:-1]}1") == found(f"{de} without a word before it") == []
+    assert found("IBAN AA11 0011 123Z 5678 BIC X") == ["AA11 0011 123Z 5678"] and found("IBAN AA11 0011 123Z 5679 BIC X") == []
+
+
 def test_lm(spark, sf, docs_of):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]
