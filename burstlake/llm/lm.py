@@ -1,13 +1,16 @@
 """Scores of texts by a log-bilinear model that is trained by noise-contrastive estimation.
 
-The model predicts a token's class from the classes of the two tokens before
-it: C1 r(w1) + C2 r(w2) is compared with each class's vector, plus a bias. The
-most frequent tokens are classes of their own; all others share classes by
-their last letters, and within one a token has its smoothed share of the
-class's count. Every task trains a copy on its share of the training texts, all
-of them, and the copies' weighted mean is the model. Scores are normalised: a
-context's partition function is a matrix product over all classes, computed
-once for each context that a worker meets.
+The model predicts a token from the two tokens before it, in two steps:
+C1 r(w1) + C2 r(w2) is compared with each class's vector, plus a bias, and then
+with the vectors of the tokens of that class. The most frequent tokens are
+classes of their own; all others share classes by their last letters. All
+tokens that occur often enough to learn from have vectors of their own, so
+their number grows with the vocabulary; what is left of a class is one more
+entry of it, in which a token has its smoothed share of the count. Every task
+trains a copy on its share of the training texts, all of them; the model is the
+copies' mean, each row weighted by how often a copy has trained it. Scores are
+normalised: partition functions are matrix products over all classes, once for
+each context of a stretch of texts, and over the members of the token's class.
 
 Counts of all tokens are a table, never a broadcast: the most frequent ones,
 a bounded number, go to every task; the rest are joined.
@@ -37,21 +40,34 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Classes:
-    """Classes of tokens: 0 .. own-1 for the frequent ones, then ``shared`` more by the crc32 of the last two bytes."""
+    """Entries of the vocabulary: 0 .. own-1 for the most frequent tokens, then ``shared`` for what is left of the classes
+    by the crc32 of the last two bytes, then one for each further token that occurs ``least`` times."""
 
-    def __init__(self, frequent: list[tuple[bytes, int]], own: int, shared: int):
+    def __init__(self, frequent: list[tuple[bytes, int]], own: int, shared: int, least: int):
         self.own, self.shared = min(own, len(frequent)), shared
         self.size = self.own + shared
-        self.start = self.size  # the context before a text
         self.place = {w: k for k, (w, _) in enumerate(frequent)}
-        self.classes = np.array([k if k < self.own else self.hashed(w) for k, (w, _) in enumerate(frequent)] + [-1], np.int16)
+        hashed = [self.hashed(w) for w, _ in frequent]
+        self.known = self.own + sum(c >= least for _, c in frequent[self.own :])  # ``frequent`` is in order of counts
+        self.entries = self.size + self.known - self.own
+        self.start = self.entries  # the context before a text
+        named = range(self.size, self.entries)
+        self.classes = np.array([*range(self.own), *named, *hashed[self.known :], -1], np.int32)
         self.counts = np.array([c for _, c in frequent] + [0], np.float64)
+        self.hashes = np.array(hashed, np.int32) - self.own
+        #: The class of each entry.
+        self.head = np.array([*range(self.size), *hashed[self.own : self.known]], np.int32)
 
     def hashed(self, w: bytes) -> int:
         return self.own + zlib.crc32(w[-2:]) % self.shared
 
+    def members(self) -> list[np.ndarray]:
+        """Of each shared class its entries, counted from ``own``."""
+        order = np.argsort(self.head[self.own :], kind="stable")
+        return np.split(order, np.searchsorted(self.head[self.own :][order], np.arange(self.own + 1, self.size)))
+
     def encode(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Of texts' tokens in a row: place among the frequent (-1: none) and class; where the others are, and what they are."""
+        """Of texts' tokens in a row: place among the frequent (-1: none) and entry; where the others are, and what they are."""
         n = sum(map(len, texts))
         place = np.fromiter(map(self.place.get, chain.from_iterable(texts), repeat(-1)), np.int32, n)
         classes = self.classes[place]
@@ -66,53 +82,63 @@ class Classes:
 
 
 class Model:
-    """Parameters: r (contexts x d), q (classes x d), b (classes), c1 and c2 (d x d)."""
+    """Tables: r (a row per entry and the start, d), q (classes, d and the bias), t (entries of shared classes, likewise), c (c1 over c2)."""
 
-    def __init__(self, size: int, d: int, noise: np.ndarray, seed: int = 7):
+    def __init__(self, size: int, d: int, noise: np.ndarray, tail: np.ndarray | None = None, head: np.ndarray | None = None, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.shapes = [(size + 1, d), (size, d), (size,), (d, d), (d, d)]
-        self.r = rng.normal(0, 0.1, (size + 1, d)).astype(np.float32)
-        self.q = rng.normal(0, 0.1, (size, d)).astype(np.float32)
-        self.b = np.log(noise).astype(np.float32)
-        self.c1, self.c2 = (np.eye(d, dtype=np.float32) * x for x in (0.7, 0.3))
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.q, self.b, self.c1, self.c2)])
-
-    def load(self, flat) -> "Model":
-        parts, at = [], 0
-        for shape in self.shapes:
-            n = int(np.prod(shape))
-            parts.append(np.asarray(flat[at : at + n], np.float32).reshape(shape))
-            at += n
-        self.r, self.q, self.b, self.c1, self.c2 = parts
-        return self
+        tail = np.empty(0) if tail is None else tail
+        self.head = np.arange(size, dtype=np.int32) if head is None else head
+        self.first = len(self.head) - len(tail)  # entries from here on are in ``t``
+        draw = lambda n: rng.normal(0, 0.1, (n, d)).astype(np.float32)
+        # tokens of shared classes start from their class: as context at its row, to which theirs is added, and within it at their count
+        self.size = size
+        self.r = draw(len(self.head) + 1)
+        self.r[size:-1] = 0
+        self.q = np.column_stack([draw(size), np.log(noise)]).astype(np.float32)
+        self.t = np.column_stack([np.zeros((len(tail), d)), np.log(tail)]).astype(np.float32)
+        self.c = np.concatenate([np.eye(d, dtype=np.float32) * x for x in (0.7, 0.3)])
+        self.tables = [self.r, self.q, self.t, self.c]
+
+    @property
+    def c1(self) -> np.ndarray:
+        return self.c[: self.c.shape[1]]
+
+    @property
+    def c2(self) -> np.ndarray:
+        return self.c[self.c.shape[1] :]
+
+    def named(self, w: np.ndarray) -> np.ndarray:
+        """Where in ``w`` tokens of shared classes are that have a row of their own."""
+        return np.flatnonzero((w >= self.size) & (w < len(self.head)))
+
+    def context(self, w: np.ndarray) -> np.ndarray:
+        x, at = self.r[w], self.named(w)
+        x[at] += self.r[self.head[w[at]]]
+        return x
 
     def log_probabilities(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
         """All classes' normalised natural log-probabilities, a row per context (w1: the token just before)."""
-        s = (self.r[w1] @ self.c1 + self.r[w2] @ self.c2) @ self.q.T + self.b
-        s -= s.max(axis=1, keepdims=True)
-        return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
+        s = (self.context(w1) @ self.c1 + self.context(w2) @ self.c2) @ self.q[:, :-1].T + self.q[:, -1]
+        return s - _log_sum(s)[:, None]
 
 
-def _scatter(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """``to[at] += rows``, equal places together."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    to[at[begin]] += np.add.reduceat(rows[order], begin, axis=0)
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    """Logs of the rows' sums of exponentials."""
+    top = s.max(axis=1)
+    return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
 
 
 class Trainer:
     """Noise-contrastive estimation with Adagrad; noise is drawn from the unigram and shared by a batch."""
 
-    def __init__(self, model: Model, noise: np.ndarray, k: int = 64, rate: float = 0.08, batch: int = 2048, seed: int = 11):
+    def __init__(self, model: Model, noise: np.ndarray, k: int = 64, rate: float = 0.08, batch: int = 2048, seed: int = 11, tail: np.ndarray | None = None):
         self.m, self.k, self.rate, self.batch = model, k, rate, batch
-        self.cut = np.cumsum(noise)[:-1]
-        self.lognoise = np.log(k * noise).astype(np.float32)
+        self.noise = [(np.cumsum(p)[:-1], np.log(k * p).astype(np.float32)) for p in (noise, np.empty(0) if tail is None else tail)]
         self.rng = np.random.default_rng(seed)
         self.seen = 0
-        self.sq = [np.full(s, 1e-3, np.float32) for s in model.shapes]
+        self.sq = [np.full(x.shape, 1e-3, np.float32) for x in model.tables]
+        #: How often each row was trained.
+        self.times = [np.zeros(len(x), np.int64) for x in model.tables]
 
     def train(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> None:
         order = self.rng.permutation(len(w))
@@ -123,25 +149,43 @@ class Trainer:
 
     def _one(self, w1, w2, w):
         m, n = self.m, np.float32(len(w))
-        noise = np.searchsorted(self.cut, self.rng.random(self.k)).astype(np.int16)
-        r1, r2 = m.r[w1], m.r[w2]
+        r1, r2 = m.context(w1), m.context(w2)
         h = r1 @ m.c1 + r2 @ m.c2
-        qw, qn = m.q[w], m.q[noise]
-        sd = np.einsum("ij,ij->i", h, qw) + m.b[w] - self.lognoise[w]
-        sn = h @ qn.T + (m.b[noise] - self.lognoise[noise])
+        dh = self._contrast(1, h, m.head[w], n)
+        if len(m.t) and len(at := np.flatnonzero(w >= m.first)):
+            dh[at] += self._contrast(2, h[at], w[at] - m.first, n)
+        dc = np.concatenate([r1.T @ dh, r2.T @ dh])
+        at, rows = np.concatenate([w1, w2]), np.concatenate([dh @ m.c1.T, dh @ m.c2.T])
+        up = m.named(at)
+        self._step(0, np.concatenate([at, m.head[at[up]]]), np.concatenate([rows, rows[up]]))
+        self.sq[3] += dc * dc
+        m.c += self.rate * dc / np.sqrt(self.sq[3])
+        self.times[3] += len(w)
+
+    def _contrast(self, which: int, h: np.ndarray, w: np.ndarray, n) -> np.ndarray:
+        """Takes a step of the rows ``w`` of q or t against noise; the gradient of ``h``."""
+        q, (cut, lognoise) = self.m.tables[which], self.noise[which - 1]
+        noise = np.searchsorted(cut, self.rng.random(self.k)).astype(np.int32)
+        qw, qn = q[w], q[noise]
+        sd = np.einsum("ij,ij->i", h, qw[:, :-1]) + qw[:, -1] - lognoise[w]
+        sn = h @ qn[:, :-1].T + (qn[:, -1] - lognoise[noise])
         gd = 1 / ((1 + np.exp(np.clip(sd, -30, 30))) * n)
         gn = -1 / ((1 + np.exp(-np.clip(sn, -30, 30))) * n)
-        dh = gd[:, None] * qw + gn @ qn
-        dq, dr, db = np.zeros_like(m.q), np.zeros_like(m.r), np.zeros_like(m.b)
-        _scatter(dq, w, gd[:, None] * h)
-        _scatter(dq, noise, gn.T @ h)
-        db += np.bincount(w, gd, len(db))
-        _scatter(db, noise, gn.sum(axis=0))
-        _scatter(dr, w1, dh @ m.c1.T)
-        _scatter(dr, w2, dh @ m.c2.T)
-        for x, g, sq in zip((m.r, m.q, m.b, m.c1, m.c2), (dr, dq, db, r1.T @ dh, r2.T @ dh), self.sq):
-            sq += g * g
-            x += self.rate * g / np.sqrt(sq)
+        of_w, of_noise = np.column_stack([gd[:, None] * h, gd]), np.column_stack([gn.T @ h, gn.sum(axis=0)])
+        dh = gd[:, None] * qw[:, :-1] + gn @ qn[:, :-1]
+        self._step(which, np.concatenate([w, noise]), np.concatenate([of_w, of_noise]))
+        return dh
+
+    def _step(self, which: int, at: np.ndarray, rows: np.ndarray) -> None:
+        """Adagrad on the rows ``at``, equal ones together; the others' gradient is zero, so they stay as they are."""
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        g, at = np.add.reduceat(rows[order], begin, axis=0), at[begin]
+        sq = self.sq[which][at] + g * g
+        self.sq[which][at] = sq
+        self.m.tables[which][at] += self.rate * g / np.sqrt(sq)
+        self.times[which][at] += np.diff(np.r_[begin, len(order)])
 
 
 def _contexts(w: np.ndarray, sizes: list[int], start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,12 +220,13 @@ def count_tokens(texts: DataFrame, text: str = "_text", most: int = 300_000) ->
     return map_rows(texts.select(text), "token binary, n long", make).groupBy("token").agg(F.sum("n").alias("c"))
 
 
-def score(train: DataFrame, docs: DataFrame, own: int = 384, shared: int = 128, d: int = 16, most: int = 120_000, longest: int = 64) -> DataFrame:
+def score(train: DataFrame, docs: DataFrame, own: int = 384, shared: int = 128, d: int = 16, most: int = 120_000, longest: int = 64, least: int = 100) -> DataFrame:
     """Adds to ``docs`` (with ``_text``): n_tokens, n_known, train_tokens, base_score and score, both log10.
 
     Learns from ``train`` (with ``_text``). Null and empty texts are one end.
     Without training texts every class is as likely as any other.
-    ``most``: frequent tokens, of up to ``longest`` bytes, that are broadcast.
+    ``most``: frequent tokens, of up to ``longest`` bytes, that are broadcast;
+    those that occur ``least`` times have vectors of their own.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -190,21 +235,25 @@ def score(train: DataFrame, docs: DataFrame, own: int = 384, shared: int = 128,
     top = heaviest(counts.where(F.octet_length("token") <= longest), "c", most).toArrow()
     frequent = sorted(zip(top["token"].to_pylist(), top["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
     del top
-    classes = Classes(frequent, own, shared)
+    classes = Classes(frequent, own, shared, least)
     # counts and sizes of the shared classes: at most ``shared`` rows
-    own_words = spark.createDataFrame([(bytearray(w),) for w, _ in frequent[: classes.own]], "token binary")
-    rest = counts.join(F.broadcast(own_words), "token", "left_anti")
     tail = F.when(F.octet_length("token") <= 2, F.col("token")).otherwise(F.expr("substring(token, octet_length(token) - 1, 2)"))
-    sums = rest.groupBy((F.crc32(tail) % shared).alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
+    sums = counts.groupBy((F.crc32(tail) % shared).alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
     mass, types = np.zeros(shared), np.zeros(shared)
     for r in sums:
         mass[r.g], types[r.g] = r.c, r.v
-    total = np.r_[[c for _, c in frequent[: classes.own]], mass] + 1.0
-    noise = total / total.sum()
-    shared_log = np.r_[np.zeros(classes.own), np.log10(mass + types + 1)]
-    sent = spark.sparkContext.broadcast((frequent, own, shared, d, noise, shared_log))
+    own_counts, named_counts = classes.counts[: classes.own], classes.counts[classes.own : classes.known]
+    groups = classes.hashes[: classes.known]
+    mass -= np.bincount(groups[: classes.own], own_counts, shared)
+    total = np.r_[own_counts, mass] + 1.0
+    mass -= np.bincount(groups[classes.own :], named_counts, shared)  # of what is left of each
+    types -= np.bincount(groups, minlength=shared)
+    within = np.r_[mass, named_counts] + 1.0
+    noise, within = total / total.sum(), within / within.sum()
+    shared_log = np.r_[np.zeros(classes.own), np.log10(mass + types + 1), np.zeros(len(named_counts))]
+    sent = spark.sparkContext.broadcast((frequent, own, shared, least, d, noise, within, shared_log))
     model = _train(train, sent)
-    params = spark.sparkContext.broadcast(model.flat())
+    params = spark.sparkContext.broadcast(model.tables)
     scored = scratch.table(_score(docs, sent, params).withColumn("_row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("_row", F.explode("_rare").alias("t")).select("_row", "t.token", "t.n")
     c = F.coalesce("c", F.lit(0))
@@ -217,7 +266,7 @@ def score(train: DataFrame, docs: DataFrame, own: int = 384, shared: int = 128,
         "n_known": F.col("n_known") + F.coalesce("_known", F.lit(0)),
         "train_tokens": F.lit(int(n)).cast("long"),
         "base_score": log - F.col("n_tokens") * float(np.log10(n + v + 1)),
-        # tokens with a class of their own have no share in it to pay for
+        # tokens with a vector of their own have no share in it to pay for
         "score": F.col("_class_log") + log - F.col("_own_log_c"),
     }).drop("_row", "_of", "_log", "_known", "_log_c", "_own_log_c", "_class_log")
 
@@ -229,19 +278,20 @@ def _worker() -> dict:
 
 def _setup(sent) -> tuple[Classes, Model]:
     if _WORKER.get("of") is not sent.value:
-        frequent, own, shared, d, noise, shared_log = sent.value
-        classes = Classes(frequent, own, shared)
+        frequent, own, shared, least, d, noise, within, shared_log = sent.value
+        classes = Classes(frequent, own, shared, least)
         _WORKER.clear()
-        _WORKER.update(of=sent.value, classes=classes, noise=noise, shared_log=shared_log, d=d)
-    return _WORKER["classes"], Model(_WORKER["classes"].size, _WORKER["d"], _WORKER["noise"])
+        _WORKER.update(of=sent.value, classes=classes, noise=noise, within=within, shared_log=shared_log, d=d)
+    classes = _WORKER["classes"]
+    return classes, Model(classes.size, _WORKER["d"], _WORKER["noise"], _WORKER["within"], classes.head)
 
 
-def _train(train: DataFrame, sent, chunk: int = 100_000) -> Model:
-    """The mean of the tasks' models, weighted by what they saw; it's taken in two steps, so the driver gets a bounded number."""
+def _train(train: DataFrame, sent, chunk: int = 100_000, block: int = 512) -> Model:
+    """The mean of the tasks' models, each row weighted by how often they trained it; it's taken by blocks of rows, so the driver gets one model."""
 
     def make():
         classes, model = _setup(sent)
-        trainer = Trainer(model, _worker()["noise"])
+        trainer = Trainer(model, _worker()["noise"], tail=_worker()["within"])
         seqs: list = []
         have = 0
 
@@ -263,26 +313,39 @@ def _train(train: DataFrame, sent, chunk: int = 100_000) -> Model:
 
         def last():
             flush()
-            return {"params": [model.flat()], "n": [trainer.seen]} if trainer.seen else None
+            out: dict = {"which": [], "block": [], "at": [], "n": [], "rows": []}
+            for which, (x, times) in enumerate(zip(model.tables, trainer.times)):
+                for a in range(0, len(x), block):
+                    at = a + np.flatnonzero(times[a : a + block])
+                    if len(at):
+                        out["which"].append(which)
+                        out["block"].append(a // block)
+                        out["at"].append(at.astype(np.int32))
+                        out["n"].append(times[at])
+                        out["rows"].append(x[at].ravel())
+            return out if out["which"] else None
 
         each.last = last
         return each
 
     def mean(g: pd.DataFrame) -> pd.DataFrame:
-        w = g["n"].to_numpy(np.float64)
-        total = np.zeros(len(g["params"].iloc[0]))
-        for x, p in zip(w, g["params"]):
-            total += x * np.asarray(p, np.float64)
-        return pd.DataFrame({"params": [(total / w.sum()).astype(np.float32)], "n": [int(w.sum())]})
-
-    parts = map_rows(train.select("_text"), "params array<float>, n long", make)
-    parts = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(24)))
-    got = parts.groupBy("g").applyInPandas(mean, "params array<float>, n long").collect()
+        first = int(g["block"].iloc[0]) * block
+        width = len(g["rows"].iloc[0]) // len(g["at"].iloc[0])
+        total, weight = np.zeros((block, width)), np.zeros(block)
+        for at, n, rows in zip(g["at"], g["n"], g["rows"]):
+            at, n = np.asarray(at) - first, np.asarray(n, np.float64)
+            total[at] += n[:, None] * np.asarray(rows, np.float64).reshape(-1, width)
+            weight[at] += n
+        at = np.flatnonzero(weight)
+        return pd.DataFrame({"which": [g["which"].iloc[0]], "at": [(at + first).astype(np.int32)], "rows": [(total[at] / weight[at, None]).astype(np.float32).ravel()]})
+
+    parts = map_rows(train.select("_text"), "which int, block int, at array<int>, n array<long>, rows array<float>", make)
+    got = parts.groupBy("which", "block").applyInPandas(mean, "which int, at array<int>, rows array<float>").toArrow()
     _, model = _setup(sent)
-    if not got:
-        return model
-    w = np.array([r.n for r in got], np.float64)
-    return model.load(np.average([r.params for r in sorted(got, key=lambda r: r.n)], axis=0, weights=np.sort(w)))
+    for which, at, rows in zip(got["which"].to_pylist(), got["at"], got["rows"]):
+        at = at.values.to_numpy()
+        model.tables[which][at] = rows.values.to_numpy().reshape(len(at), -1)
+    return model
 
 
 def _score(docs: DataFrame, sent, params) -> DataFrame:
@@ -291,13 +354,14 @@ def _score(docs: DataFrame, sent, params) -> DataFrame:
 
     def make():
         classes, model = _setup(sent)
-        model.load(params.value)
-        mine = _worker()
-        shared_log, n1 = mine["shared_log"], classes.size + 1
-        rc1, rc2 = model.r @ model.c1, model.r @ model.c2
-        if mine.get("z_of") is not params.value:
-            mine.update(z_of=params.value, z=np.full(n1 * n1, np.nan, np.float32))
-        z = mine["z"]
+        model.tables = [model.r, model.q, model.t, model.c] = params.value
+        q, t = model.q, model.t
+        r = model.context(np.arange(classes.entries + 1))
+        rc1, rc2 = r @ model.c1, r @ model.c2
+        shared_log, n1 = _worker()["shared_log"], classes.entries + 1
+        members = classes.members()
+        of_class = [t[m] for m in members]
+
         log_count = np.log10(classes.counts + 1)
 
         def some(texts, out):
@@ -307,19 +371,29 @@ def _score(docs: DataFrame, sent, params) -> DataFrame:
             place, w, other, rest = classes.encode(texts)
             w1, w2 = _contexts(w, sizes, classes.start)
             ctx = w1.astype(np.int64) * n1 + w2
-            new = np.unique(ctx[np.isnan(z[ctx])])
+            new, of = np.unique(ctx, return_inverse=True)
+            z = np.empty(len(new), np.float32)
             for k in range(0, len(new), 4096):
                 part = new[k : k + 4096]
-                s = (rc1[part // n1] + rc2[part % n1]) @ model.q.T + model.b
-                top = s.max(axis=1)
-                z[part] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-            raw = np.einsum("ij,ij->i", rc1[w1] + rc2[w2], model.q[w]) + model.b[w] - z[ctx]
+                z[k : k + 4096] = _log_sum((rc1[part // n1] + rc2[part % n1]) @ q[:, :-1].T + q[:, -1])
+            h = rc1[w1] + rc2[w2]
+            qw = q[classes.head[w]]
+            raw = np.einsum("ij,ij->i", h, qw[:, :-1]) + qw[:, -1] - z[of]
+            inner = np.flatnonzero(w >= classes.own)
+            inner = inner[np.argsort(classes.head[w[inner]], kind="stable")]
+            tw = t[w[inner] - classes.own]
+            raw[inner] += np.einsum("ij,ij->i", h[inner], tw[:, :-1]) + tw[:, -1]
+            edges = np.searchsorted(classes.head[w[inner]], np.arange(classes.own, classes.size + 1))
+            for g in np.flatnonzero(np.diff(edges)).tolist():
+                for k in range(edges[g], edges[g + 1], 1024):
+                    part = inner[k : min(k + 1024, edges[g + 1])]
+                    raw[part] -= _log_sum(h[part] @ of_class[g][:, :-1].T + of_class[g][:, -1])
             logs = log_count[place]
             add = lambda x: np.add.reduceat(x, begin)
             out["n_tokens"] += sizes
             out["n_known"] += add((classes.counts[place] > 0).astype(np.int64)).tolist()
             out["_log_c"] += add(logs).tolist()
-            out["_own_log_c"] += add(np.where(w < classes.own, logs, 0.0)).tolist()
+            out["_own_log_c"] += add(np.where((w < classes.own) | (w >= classes.size), logs, 0.0)).tolist()
             out["_class_log"] += add(raw.astype(np.float64) / np.log(10) - shared_log[w]).tolist()
             edge = np.searchsorted(other, [*begin, len(w)]).tolist()
             out["_rare"] += [[{"token": t, "n": n} for t, n in Counter(rest[a:b]).items()] for a, b in zip(edge[:-1], edge[1:])]

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from brute import base_score, digest, near, personal, quality, secrets, substring, words
+from pyspark.sql import functions as F
 
 from burstlake.llm import lm, ngram_join, personal_data, quality_rules, queries, secret_scan, substring_dedup, token_counts
 
@@ -202,6 +203,31 @@ def test_lm_is_normalised():
     assert m.log_probabilities(np.array([1]), np.array([3]))[0].argmax() == 2
 
 
+def test_lm_learns_tokens_that_share_a_class(spark):
+    import numpy as np
+
+    train = spark.createDataFrame([(("p axx " if i % 2 else "q bxx ") * 20,) for i in range(4000)], "_text string").coalesce(1)
+    docs = spark.createDataFrame([(t,) for t in ("p axx", "p bxx", "q axx", "q bxx")], "_text string").withColumn("t", F.col("_text"))
+    got = {r.t: r.score for r in lm.score(train, docs, own=1, shared=2, least=50).collect()}
+    assert got["p axx"] > got["p bxx"] + 0.5 and got["q bxx"] > got["q axx"] + 0.5
+    many = lm.Classes([(f"w{i}".encode(), 1000 - i) for i in range(900)], 10, 4, 200)
+    few = lm.Classes([(f"w{i}".encode(), 1000 - i) for i in range(90)], 10, 4, 200)
+    assert (few.entries, many.entries) == (94, 4 + 801)
+    assert sorted(np.concatenate(many.members()).tolist()) == list(range(4 + 791))
+    assert all(set(many.head[10 + m].tolist()) == {10 + g} for g, m in enumerate(many.members()))
+
+
+def test_lm_is_normalised_over_tokens(spark):
+    """One blank-free text a known token: its probability, and the rest's, add up to one."""
+    import math
+
+    train = spark.createDataFrame([(f"t{i % 40:02d}",) for i in range(4000)], "_text string")
+    docs = spark.createDataFrame([(f"t{i:02d}",) for i in range(40)] + [("",)], "_text string").withColumn("t", F.col("_text"))
+    end = {r.t: r.score for r in lm.score(train, docs, own=5, shared=3, least=50).collect()}
+    assert all(math.isfinite(x) and x < 0 for x in end.values())
+    assert sum(10**x for x in end.values()) <= 1.001
+
+
 def test_lm_takes_all_its_steps():
     import numpy as np
 
