@@ -111,18 +111,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, thresho
 
     Null and empty texts hold no item; items without tokens are never held;
     an item of under ``least`` tokens counts if it occurs whole. Equal
-    coverages: the smallest item id. Repeated rows are judged alike. ``keep``:
+    coverages: the smallest item id; null is the largest. Items without an id
+    count for contaminated and n_items like others, each row by itself, and
+    are null in item_id and left out of items. Repeated rows are judged alike. ``keep``:
     columns of ``docs`` to pass on. The benchmark is broadcast in blocks of
     about ``block_chars``, one after the other, however large it is.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
     chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = int(chars // block_chars) + 1
     passed = [c for c in (keep or []) if c not in (id_col, text)]
     df = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), F.struct(*[F.col(c) for c in passed]).alias("_rest") if passed else F.lit(None).cast("int").alias("_rest"), F.lit(None).cast("array<struct<item:long,coverage:double>>").alias("_hits"))
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
+        rows = items.where(F.pmod(F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text"))), F.lit(blocks)) == b).orderBy("item_id").collect()
         index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in rows], least))
 
         last = b == blocks - 1 and text not in (keep or [])
@@ -139,7 +141,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, thresho
 
         df = map_rows(df, df.schema, make)
     over = F.filter("_hits", lambda h: h["coverage"] >= threshold)
-    best = F.array_min(F.transform("_hits", lambda h: F.struct((-h["coverage"]).alias("c"), h["item"].alias("i"))))
+    best = F.array_min(F.transform("_hits", lambda h: F.struct((-h["coverage"]).alias("c"), h["item"].isNull().alias("n"), h["item"].alias("i"))))
     out = df.withColumn("_over", over).withColumn("_best", best)
     return out.select(
         F.col("_id").alias(id_col),
@@ -147,7 +149,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, thresho
         F.size("_over").cast("long").alias("n_items"),
         F.col("_best.i").alias("item_id"),
         F.coalesce(-F.col("_best.c"), F.lit(0.0)).alias("coverage"),
-        F.array_sort(F.transform("_over", lambda h: h["item"])).alias("items"),
+        F.array_sort(F.array_compact(F.transform("_over", lambda h: h["item"]))).alias("items"),
         *[F.col(f"_rest.{c}").alias(c) for c in passed],
         *([F.col("_text").alias(text)] if keep and text in keep else []),
     )

@@ -120,6 +120,16 @@ def test_tiling(spark):
     assert decontamination.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_tiling_items_without_id(spark):
+    a, b = "one two three four five six seven", "red green blue black white grey brown"
+    docs = spark.createDataFrame([(0, f"x {a} y"), (1, f"{a} {b}"), (2, f"{b} {a} {a}"), (3, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, a), (5, b), (None, "one two three four five six seven eight")], "item_id long, text string")
+    for chars in (8_000_000, 30):
+        got = {r.doc_id: r for r in decontamination.decontaminate(docs, bench, block_chars=chars).collect()}
+        assert [(got[i].contaminated, got[i].n_items, got[i].item_id, got[i].items) for i in range(4)] == [(True, 2, None, []), (True, 3, 5, [5]), (True, 3, 5, [5]), (False, 0, None, [])]
+        assert got[0].coverage == 1.0
+
+
 def slow_tiling(item, doc, least):
     """Greedy string tiling as published: the longest unmarked match, again and again."""
     a, b = [False] * len(item), [False] * len(doc)
