@@ -36,7 +36,7 @@ class EntropyRules:
     allow: tuple = (
         r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
         r"(?i:.*(example|sample|dummy|placeholder|changeme|xxxx).*)",
-        r"[A-Za-z]*([/_+=-]+[A-Za-z]*)*",
+        r"[A-Za-z/_+=-]*",
         r"[0-9_+/=-]*",
     )
 
@@ -55,7 +55,7 @@ def highest_entropy(text: str, window: int) -> float:
     w = min(window, len(text))
     if not w:
         return 0.0
-    clog = [0.0] + [c * math.log2(c) for c in range(1, w + 1)]
+    clog = [0.0] + [c * math.log2(c) for c in range(1, w + 2)]  # a character comes before one goes
     counts: dict = {}
     total = 0.0  # sum of c * log2(c)
     best = 0.0
@@ -85,18 +85,32 @@ def base_spans(text: str) -> list[Span]:
 
 
 def scan(text: str, rules: EntropyRules = EntropyRules(), allow: list | None = None) -> tuple[list[Span], list[Span]]:
-    """Base spans, and the spans that only their entropy gives away."""
+    """Base spans, and the spans that only their entropy gives away: candidates, or what base spans leave of them if that's one itself."""
     allow = [re.compile(a) for a in rules.allow] if allow is None else allow
     base = base_spans(text)
+    covered = sorted((a, b) for _, a, b in base)
     found = []
     for m in _candidate.finditer(text):
-        kind = class_of(m.group())
-        if kind and not any(a < m.end() and m.start() < b for _, a, b in base) and not any(a.fullmatch(m.group()) for a in allow):
-            if highest_entropy(m.group(), rules.window) >= rules.least[kind]:
-                found.append(("entropy", *m.span()))
+        for part in outside(*m.span(), covered):
+            x = text[slice(*part)]
+            kind = class_of(x) if _candidate.fullmatch(x) else None
+            if kind and not any(a.fullmatch(x) for a in allow) and highest_entropy(x, rules.window) >= rules.least[kind]:
+                found.append(("entropy", *part))
     return base, found
 
 
+def outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches of ``start`` .. ``end`` that none of the spans, in order of their starts, covers."""
+    parts = []
+    for a, b in spans:
+        if a >= end:
+            break
+        if a > start:
+            parts.append((start, a))
+        start = max(start, b)
+    return parts + [(start, end)] * (start < end)
+
+
 def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
     """The text with each stretch that spans cover, overlapping ones together, replaced by ``mark``."""
     out, at, end = [], 0, -1
