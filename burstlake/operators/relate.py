@@ -20,7 +20,7 @@ def latest_per_key(df: DataFrame, key: list[str], value: str, seq: str) -> DataF
 
 
 def upsert_tail(df: DataFrame, key: list[str], seq: str, most: int = 200) -> DataFrame:
-    """Each key's last row, the ``most`` latest of them (U5, T-8, T-9)."""
+    """Each key's last row, the ``most`` latest of them (U5, T-9; of T-8 the newest alone, nothing keeps the current one)."""
     return distinct_keep_first(df, key, [F.col(seq).desc()]).orderBy(F.col(seq).desc()).limit(most)
 
 
@@ -66,7 +66,7 @@ def in_range(points: DataFrame, ranges: DataFrame, part: list[str], at: str, fir
 
 
 def near_pairs(a: DataFrame, key: str, part: list[str], hash_: str, most_bits: int) -> DataFrame:
-    """Pairs of one part whose hashes differ in few bits (J9). A part is a segment, whose size the caller bounds."""
+    """Pairs of one part whose hashes differ in few bits (of J9 that test alone). A part is a segment, whose size the caller bounds."""
     from ..functions.scalars import hamming
 
     b = a.select(*part, F.col(key).alias("other"), F.col(hash_).alias("_h"))

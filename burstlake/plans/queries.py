@@ -245,7 +245,7 @@ def segment_of_frame(spark, sf_dir):
 @query("""SELECT a.vec_id, b.vec_id AS other, list_sum([CASE WHEN (a.embedding[i] > 0) <> (b.embedding[i] > 0) THEN 1 ELSE 0 END for i in range(1, 65)])::INT AS bits FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
  WHERE list_sum([CASE WHEN (a.embedding[i] > 0) <> (b.embedding[i] > 0) THEN 1 ELSE 0 END for i in range(1, 65)]) <= 24""")
 def hamming_pairs(spark, sf_dir):
-    """Near pairs within a label."""
+    """F3, F4; of J9 and P5 the Hamming test within a label."""
     df = table(spark, sf_dir, "embeddings").select("vec_id", "label", S.sign_hash(F.col("embedding")).alias("hash"))
     return R.near_pairs(df, "vec_id", ["label"], "hash", 24).select("vec_id", "other", "bits")
 
@@ -282,7 +282,7 @@ def symmetric_diff(spark, sf_dir):
 
 @query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1 ORDER BY o_orderkey DESC LIMIT 200")
 def upsert_tail(spark, sf_dir):
-    """U5, T-8, T-9: the 200 keys written last."""
+    """U5, T-9, of T-8 the newest: the 200 keys written last."""
     return R.upsert_tail(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey", 200)
 
 
