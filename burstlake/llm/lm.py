@@ -46,7 +46,7 @@ LONGEST = 64
 _WORKER: dict = {}
 
 
-def stretches(texts: pa.Array, most: int = 16_000_000) -> Iterator[tuple[int, int]]:
+def stretches(texts: pa.Array, most: int = 6_000_000) -> Iterator[tuple[int, int]]:
     """First and last (exclusive) texts of stretches of about ``most`` bytes; a longer text is one of its own."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -333,7 +333,7 @@ def score(train: DataFrame | Column, docs: DataFrame, own: int = 64, shared: int
     rows = docs.withColumn("_learn", train) if inside else docs.withColumn("_learn", F.lit(True))
     encoded = scratch.table(_encode(rows, sent).withColumn("_row", F.monotonically_increasing_id()), "encoded")
     learn = encoded if inside else scratch.table(_encode(train.select("_text", F.lit(True).alias("_learn")), sent).withColumn("_row", F.monotonically_increasing_id()), "learn")
-    params = spark.sparkContext.broadcast(_train(learn.where("_learn").select("_ids", "_row"), sent, rounds).tables)
+    params = spark.sparkContext.broadcast(_train(learn.where("_learn").select("_ids", "_row"), sent, rounds, n).tables)
     scored = scratch.table(_score(encoded.drop("_rare", "_learn"), sent, params), "scored")
     rare = encoded.select("_row", F.explode("_rare").alias("t")).select("_row", "t.token", "t.n")
     c = F.coalesce("c", F.lit(0))
@@ -416,14 +416,17 @@ def _flat(blobs: list[bytes]) -> tuple[np.ndarray, list[int]]:
     return np.frombuffer(b"".join(blobs), np.int32), [len(x) // 4 for x in blobs]
 
 
-def _train(ids: DataFrame, sent, rounds: int, chunk: int = 1_000_000, block: int = 512) -> Model:
+def _train(ids: DataFrame, sent, rounds: int, tokens: int, per_copy: int = 6_000_000, chunk: int = 1_000_000, block: int = 512) -> Model:
     """The model after ``rounds`` over parts of the texts (``_ids``, ``_row``), which together are all of them.
 
     A round's result is the mean of its tasks' copies, each row weighted by how
-    often they trained it; it's taken by blocks of rows, so the driver gets one model.
+    often they trained it; it's taken by blocks of rows, so the driver gets one
+    model. A copy trains on about ``per_copy`` tokens a round, so what copies
+    send (in half precision) stays a part of what they read.
     """
     spark = ids.sparkSession
     _, model = _setup(sent)
+    copies = 1 + tokens // (rounds * per_copy)
 
     def one(texts: DataFrame, start) -> pa.Table:
         def make():
@@ -446,9 +449,9 @@ def _train(ids: DataFrame, sent, rounds: int, chunk: int = 1_000_000, block: int
                         if len(at):
                             out["which"].append(which)
                             out["block"].append(a // block)
-                            out["at"].append(at.astype(np.int32).tobytes())
-                            out["n"].append(times[at].tobytes())
-                            out["rows"].append(x[at].tobytes())
+                            out["at"].append((at - a).astype(np.int16).tobytes())
+                            out["n"].append(times[at].astype(np.float32).tobytes())
+                            out["rows"].append(x[at].astype(np.float16).tobytes())
                 return out if out["which"] else None
 
             each.last = last
@@ -456,11 +459,11 @@ def _train(ids: DataFrame, sent, rounds: int, chunk: int = 1_000_000, block: int
 
         def mean(g: pd.DataFrame) -> pd.DataFrame:
             first = int(g["block"].iloc[0]) * block
-            width = len(g["rows"].iloc[0]) // len(g["at"].iloc[0])
+            width = len(g["rows"].iloc[0]) // len(g["at"].iloc[0])  # two bytes each
             total, weight = np.zeros((block, width)), np.zeros(block)
             for at, n, rows in zip(g["at"], g["n"], g["rows"]):
-                at, n = np.frombuffer(at, np.int32) - first, np.frombuffer(n, np.int64).astype(np.float64)
-                total[at] += n[:, None] * np.frombuffer(rows, np.float32).reshape(-1, width)
+                at, n = np.frombuffer(at, np.int16), np.frombuffer(n, np.float32).astype(np.float64)
+                total[at] += n[:, None] * np.frombuffer(rows, np.float16).reshape(-1, width)
                 weight[at] += n
             at = np.flatnonzero(weight)
             return pd.DataFrame({"which": [g["which"].iloc[0]], "at": [(at + first).astype(np.int32).tobytes()], "rows": [(total[at] / weight[at, None]).astype(np.float32).tobytes()]})
@@ -469,7 +472,7 @@ def _train(ids: DataFrame, sent, rounds: int, chunk: int = 1_000_000, block: int
         return parts.groupBy("which", "block").applyInPandas(mean, "which int, at binary, rows binary").toArrow()
 
     for k in range(rounds):
-        got = one(ids.where(F.pmod("_row", F.lit(rounds)) == k).select("_ids"), spark.sparkContext.broadcast(model.tables) if k else None)
+        got = one(ids.where(F.pmod("_row", F.lit(rounds)) == k).select("_ids").coalesce(copies), spark.sparkContext.broadcast(model.tables) if k else None)
         for which, at, rows in zip(*(got[c].to_pylist() for c in ("which", "at", "rows"))):
             at = np.frombuffer(at, np.int32)
             model.tables[which][at] = np.frombuffer(rows, np.float32).reshape(len(at), -1)
@@ -490,8 +493,7 @@ def _score(docs: DataFrame, sent, params) -> DataFrame:
             out: dict = {f.name: cols[f.name] for f in passed}
             w, sizes = _flat(cols["_ids"])
             w1, w2 = _contexts(w, sizes, classes.start)
-            raw = np.concatenate([scores.of(w1[a : a + 250_000], w2[a : a + 250_000], w[a : a + 250_000]) for a in range(0, len(w), 250_000)])
-            logs = raw.astype(np.float64) / np.log(10) - shared_log[w]
+            logs = scores.of(w1, w2, w).astype(np.float64) / np.log(10) - shared_log[w]
             return out | {"_class_log": np.add.reduceat(logs, np.cumsum([0, *sizes[:-1]])).tolist()}
 
         return each
@@ -508,34 +510,52 @@ class Scores:
         self.rc = r @ model.c1, r @ model.c2
         self.of_class = [model.t[m] for m in classes.members()]
 
-    def _rows(self, which: int, w: np.ndarray, bias: np.ndarray | float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Exponentials of all classes' scores by one token of the context, a row a different token, their logs' shifts, and each place's row."""
-        seen = np.zeros(self.classes.entries + 1, bool)
-        seen[w] = True
-        at = np.flatnonzero(seen)
-        row = np.empty(len(seen), np.int32)
-        row[at] = np.arange(len(at))
-        s = self.rc[which][at] @ self.m.q[:, :-1].T + bias
-        top = s.max(axis=1)
-        s -= top[:, None]
-        return np.exp(s, out=s), top, row[w]
-
-    def of(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def log_sums(self, w1: np.ndarray, w2: np.ndarray, block: int = 64) -> np.ndarray:
+        """Logs of the classes' partition functions, by blocks of classes: a row of exponentials for each different token before and each two before."""
+        q = self.m.q
+        sides = []
+        for rows, w in zip(self.rc, (w1, w2)):
+            seen = np.zeros(self.classes.entries + 1, bool)
+            seen[w] = True
+            at = np.flatnonzero(seen)
+            row = np.empty(len(seen), np.int32)
+            row[at] = np.arange(len(at))
+            sides.append((rows.take(at, axis=0), row.take(w)))
+        z = np.zeros(len(w1), np.float32)
+        with np.errstate(over="ignore", invalid="ignore"):
+            for c in range(0, len(q), block):
+                part = q[c : c + block]
+                first, second = sides[0][0] @ part[:, :-1].T + part[:, -1], sides[1][0] @ part[:, :-1].T
+                np.exp(first, out=first)
+                np.exp(second, out=second)
+                for k in range(0, len(z), 4096):
+                    z[k : k + 4096] += np.vecdot(first.take(sides[0][1][k : k + 4096], axis=0), second.take(sides[1][1][k : k + 4096], axis=0))
+            apart = np.flatnonzero(~((z > 1e-30) & (z < 1e30)))  # the products are out of their type's range
+            z = np.log(z, where=z > 0, out=z)
+        for k in range(0, len(apart), 4096):
+            at = apart[k : k + 4096]
+            z[at] = _log_sum((self.rc[0][w1[at]] + self.rc[1][w2[at]]) @ q[:, :-1].T + q[:, -1])
+        return z
+
+    def of(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, chunk: int = 2_000_000, part: int = 250_000) -> np.ndarray:
+        """A stretch's memory is bounded by ``chunk`` and ``part``, not by its length."""
+        out = np.empty(len(w), np.float32)
+        for a in range(0, len(w), chunk):
+            end = min(a + chunk, len(w))
+            z = self.log_sums(w1[a:end], w2[a:end])
+            for k in range(a, end, part):
+                at = slice(k, min(k + part, end))
+                out[at] = self._joint(w1[at], w2[at], w[at]) - z[k - a : at.stop - a]
+        return out
+
+    def _joint(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Scores of the classes plus log-probabilities within them."""
         q, t, classes = self.m.q, self.m.t, self.classes
-        a, top1, i1 = self._rows(0, w1, q[:, -1])
-        b, top2, i2 = self._rows(1, w2, 0.0)
-        z = np.empty(len(w), np.float32)
-        for k in range(0, len(w), 2048):
-            z[k : k + 2048] = np.vecdot(a.take(i1[k : k + 2048], axis=0), b.take(i2[k : k + 2048], axis=0))
         h = self.rc[0].take(w1, axis=0)
         h += self.rc[1].take(w2, axis=0)
-        apart = np.flatnonzero(~(z > 1e-30))  # where the two tokens agree on no class, the product is too small for its type
-        z = np.log(np.maximum(z, 1e-30)) + top1[i1] + top2[i2]
-        for k in range(0, len(apart), 4096):
-            z[apart[k : k + 4096]] = _log_sum(h[apart[k : k + 4096]] @ q[:, :-1].T + q[:, -1])
         head = classes.head[w]
         qw = q.take(head, axis=0)
-        raw = np.vecdot(h, qw[:, :-1]) + qw[:, -1] - z
+        raw = np.vecdot(h, qw[:, :-1]) + qw[:, -1]
         inner = np.flatnonzero(w >= classes.own)
         inner = inner[np.argsort(head[inner].astype(np.int16), kind="stable")]
         h, tw = h.take(inner, axis=0), t.take(w[inner] - classes.own, axis=0)
