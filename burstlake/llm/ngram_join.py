@@ -134,8 +134,9 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: floa
     ``n_links`` counts the other rows whose n-gram sets have a Jaccard
     similarity of ``threshold`` or more with this one's, copies included;
     ``n_copies`` those with an equal set. Texts of under ``n`` words are one
-    n-gram; null texts and those without words are alone. Null ids are kept;
-    repeated rows are copies. Other columns are left out.
+    n-gram; null texts and those without words are alone. Null ids are kept,
+    and a null is no class's smallest id while others are there; repeated rows
+    are copies; an empty table gives no rows. Other columns are left out.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
@@ -145,12 +146,14 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: floa
     nodes = scratch.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # Candidates: each node of a bucket and the bucket's first. A band's hash has the band in it.
     met = nodes.select("node", F.explode("bands").alias("h"))
-    firsts = met.groupBy("h").agg(F.min("node").alias("pivot"), F.count("*").alias("_n")).where("_n > 1").select("h", "pivot")
+    # What is joined back to its groups is a table, so both sides of the join are exchanges that Spark can split at a hot key.
+    firsts = scratch.table(met.groupBy("h").agg(F.min("node").alias("pivot"), F.count("*").alias("_n")).where("_n > 1").select("h", "pivot"), "firsts")
     stars = scratch.table(met.join(firsts, "h").where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), "stars")
     groups = scratch.table(components(stars, scratch, "candidates"), "groups")
     # Work units: pairs of blocks of a group.
     members = groups.join(nodes.select("node", "copies", "rid", "words"), "node")
     size = groups.join(nodes.select("node", "words"), "node").groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("words") / block_words)).cast("int").alias("blocks"))
+    size = scratch.table(size, "sizes")
     members = members.join(size, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = scratch.table(members.select("root", "node", "copies", "rid", "block", "blocks"), "members")
     wanted = members.select(F.col("rid").alias("w_rid"), "root", "node", "copies", "block", "blocks")
@@ -160,12 +163,12 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: floa
     units = texts.select("root", "node", "copies", "block", "_text", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
     verified = units.groupBy("root", "i", "j").applyInPandas(_verify(threshold, n), "node long, links long, root long")
     verified = scratch.table(verified, "verified")
-    scratch.drop("stars", "groups", "members")
+    scratch.drop("firsts", "stars", "groups", "sizes", "members")
     classes = components(verified.select(F.col("node").alias("u"), F.col("root").alias("v")), scratch, "classes")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "set_id", "copies", "first").join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = scratch.table(known, "known")
-    whole = known.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
+    whole = scratch.table(known.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size")), "classes")
     known = scratch.table(known.join(whole, "root").select(F.col("set_id").alias("k_set"), "class_id", "class_size", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), (F.col("copies") - 1).alias("n_copies")), "final")
     out = signed.select("_id", "set_id").join(known, F.col("set_id") == F.col("k_set"), "left")
     return out.select(
