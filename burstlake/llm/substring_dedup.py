@@ -89,8 +89,11 @@ def substring_dedup(docs: DataFrame, length: int = 35, first: int = 9, id_col: s
 
     A word goes if a window of ``length`` words that covers it also starts
     anywhere else; windows are judged on the input. Null and short texts lose
-    nothing; a repeated row of ``length`` words or more is lost with its copy.
-    Other columns are left out. Words compare by 64-bit hashes, windows by two.
+    nothing; a repeated row of ``length`` words or more is lost with its copy;
+    null and repeated ids are documents like others; an empty table gives no
+    rows. Other columns are left out. Words compare by 64-bit hashes, windows by
+    two, of themselves and of their minimizer. What is joined back to its groups
+    is a table, so Spark can split both sides of the join at a hot window.
     ``first``: words at the first level, with 3 * first - 1 <= length <= 4 * first.
     """
     if not 3 * first - 1 <= length <= 4 * first:
@@ -117,46 +120,47 @@ def substring_dedup(docs: DataFrame, length: int = 35, first: int = 9, id_col: s
 
     found = scratch.table(map_rows(rows.select("rid", "_text"), "rid long, start int, n short, off short, h1 long, r int, l int, hs long", make), "runs")
     # Level one: minimizers that occur twice.
-    twice = found.groupBy("h1").agg(F.count("*").alias("_n")).where("_n > 1").select("h1")
+    twice = scratch.table(found.groupBy("h1").agg(F.count("*").alias("_n")).where("_n > 1").select("h1"), "twice")
     one = scratch.table(found.join(twice, "h1", "left_semi"), "one")
-    scratch.drop("runs")
+    scratch.drop("runs", "twice")
     # Level two: a window that reaches far to the right needs the right 18 words twice, one that reaches far to the left the left.
     reach = length - 2 * first  # windows that begin at most this far before the minimizer hold its right extension
     rr = one.groupBy("h1", "r").agg(F.count("*").alias("_n")).where("_n > 1").select("h1", "r", F.lit(True).alias("_r"))
     ll = one.groupBy("h1", "l").agg(F.count("*").alias("_n")).where("_n > 1").select("h1", "l", F.lit(True).alias("_l"))
+    rr, ll = scratch.table(rr, "right"), scratch.table(ll, "left")
     two = one.join(rr, ["h1", "r"], "left").join(ll, ["h1", "l"], "left")
     two = two.where(f"(_r and _l) or (_r and off - n + 1 < {first}) or (_l and off > {reach})")
     two = scratch.table(two.select("rid", "start", "n", "off", "h1", "hs"), "two")
-    scratch.drop("one")
+    scratch.drop("one", "right", "left")
     # Level three. Equal runs are one span; a span that occurs twice is repeated in all its windows.
     spans = two.groupBy("h1", "hs", "n", "off").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start")).alias("at"))
     spans = scratch.table(spans.withColumn("span", F.xxhash64("h1", "hs", "n", "off")), "spans")
-    mixed = spans.groupBy("h1").agg(F.count("*").alias("_k")).where("_k > 1").select("h1")
-    some = scratch.table(spans.join(mixed, "h1", "left_semi").select(F.col("at.rid").alias("rid"), F.col("at.start").alias("start"), "n", "span", "copies"), "some")
-    ask = scratch.table(some.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "span", "copies")).alias("ask")), "ask")
+    mixed = scratch.table(spans.groupBy("h1").agg(F.count("*").alias("_k")).where("_k > 1").select("h1"), "mixed")
+    some = scratch.table(spans.join(mixed, "h1", "left_semi").select(F.col("at.rid").alias("rid"), F.col("at.start").alias("start"), "n", "h1", "span", "copies"), "some")
+    ask = scratch.table(some.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "h1", "span", "copies")).alias("ask")), "ask")
 
     def windows():
         def each(cols):
-            h, span, k, copies = [], [], [], []
+            h, h1, span, k, copies = [], [], [], [], []
             for x, ask in zip(cols["_text"], cols["ask"]):
                 hashed = Hashed(x.encode().split())
                 start = np.concatenate([np.arange(a["start"], a["start"] + a["n"]) for a in ask])
                 h.append(hashed.of(start, length).view(np.int64))
                 k.append(np.concatenate([np.arange(a["n"]) for a in ask]))
-                span.append(np.repeat([a["span"] for a in ask], [a["n"] for a in ask]))
-                copies.append(np.repeat([a["copies"] for a in ask], [a["n"] for a in ask]))
-            h, span, k, copies = map(np.concatenate, (h, span, k, copies))
-            return {"h": h, "span": span, "k": k.astype(np.int16), "copies": copies}
+                for to, name in ((h1, "h1"), (span, "span"), (copies, "copies")):
+                    to.append(np.repeat([a[name] for a in ask], [a["n"] for a in ask]))
+            h, h1, span, k, copies = map(np.concatenate, (h, h1, span, k, copies))
+            return {"h": h, "h1": h1, "span": span, "k": k.astype(np.int16), "copies": copies}
 
         return each
 
     asked = rows.select("rid", "_text").join(ask, "rid")
-    whole = map_rows(asked.select("_text", "ask"), "h long, span long, k short, copies long", windows)
+    whole = map_rows(asked.select("_text", "ask"), "h long, h1 long, span long, k short, copies long", windows)
     whole = scratch.table(whole.distinct(), "windows")  # a repeated row gives its windows twice
-    again = whole.groupBy("h").agg(F.sum("copies").alias("_n")).where("_n > 1").select("h")
-    masks = whole.where("copies = 1").join(again, "h", "left_semi").groupBy("span").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
+    again = scratch.table(whole.groupBy("h1", "h").agg(F.sum("copies").alias("_n")).where("_n > 1").select("h1", "h"), "again")
+    masks = whole.where("copies = 1").join(again, ["h1", "h"], "left_semi").groupBy("span").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
     masks = scratch.table(masks.unionByName(spans.where("copies > 1").select("span", F.expr("shiftleft(1L, n) - 1").alias("mask"))), "masks")
-    scratch.drop("windows", "ask", "some", "spans")
+    scratch.drop("windows", "again", "ask", "some", "mixed", "spans")
     gone = two.withColumn("span", F.xxhash64("h1", "hs", "n", "off")).join(masks, "span")
     gone = gone.groupBy("rid").agg(F.collect_set(F.struct("start", "mask")).alias("gone"))
     gone = scratch.table(gone, "gone")
