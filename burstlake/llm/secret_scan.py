@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -88,10 +89,12 @@ def scan(text: str, rules: EntropyRules = EntropyRules(), allow: list | None = N
     """Base spans, and the spans that only their entropy gives away: candidates, or what base spans leave of them if that's one itself."""
     allow = [re.compile(a) for a in rules.allow] if allow is None else allow
     base = base_spans(text)
-    covered = sorted((a, b) for _, a, b in base)
-    found = []
+    covered = merged((a, b) for _, a, b in base)
+    found, first = [], 0
     for m in _candidate.finditer(text):
-        for part in outside(*m.span(), covered):
+        while first < len(covered) and covered[first][1] <= m.start():  # candidates come in order, so nothing is passed twice
+            first += 1
+        for part in outside(*m.span(), covered, first):
             x = text[slice(*part)]
             kind = class_of(x) if _candidate.fullmatch(x) else None
             if kind and not any(a.fullmatch(x) for a in allow) and highest_entropy(x, rules.window) >= rules.least[kind]:
@@ -99,10 +102,21 @@ def scan(text: str, rules: EntropyRules = EntropyRules(), allow: list | None = N
     return base, found
 
 
-def outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The stretches of ``start`` .. ``end`` that none of the spans, in order of their starts, covers."""
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What spans cover, as stretches that don't touch, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def outside(start: int, end: int, spans: list[tuple[int, int]], first: int = 0) -> list[tuple[int, int]]:
+    """The stretches of ``start`` .. ``end`` that none of the spans, in order of their starts and from the ``first`` on, covers."""
     parts = []
-    for a, b in spans:
+    for a, b in (spans[k] for k in range(first, len(spans))):
         if a >= end:
             break
         if a > start:
@@ -126,8 +140,9 @@ def secret_scan(docs: DataFrame, rules: EntropyRules = EntropyRules(), id_col: s
     """One row per row of ``docs``: counts a kind, digest of the base spans, all spans, and with ``redacted`` the text without them.
 
     Null and empty texts have no spans; the redacted form of null is null.
-    Repeated rows each get a row; other columns are left out, but those that
-    ``keep`` names and that aren't the result's. Candidates of any length are scanned whole, in time that grows with their length.
+    Null and repeated ids and repeated rows each get a row; an empty table gives
+    none; other columns are left out, but those that ``keep`` names and that
+    aren't the result's. Candidates of any length are scanned whole, in time that grows with their length.
     """
 
     own = {id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"}
