@@ -11,6 +11,8 @@ version line inside a payload makes a candidate that nothing points to.
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,8 +30,11 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def with_revisits(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", least: int = LEAST) -> DataFrame:
     """Adds ``refers_to``: of rows with equal payloads of ``least`` bytes or more, the largest id, but null on that row itself.
 
-    Only payloads that occur twice are joined. Their table is written first, so
-    Spark broadcasts it if its size on disk allows that, and otherwise merges.
+    Every row that has the largest id is a response, also where the row is
+    repeated; a null id is smaller than any other, and rows that have nothing
+    but null ids refer to none. Only payloads that occur twice are joined. Their
+    table is written first, so Spark broadcasts it if its size on disk allows
+    that, and otherwise merges.
     """
     df = pages.withColumn("_sha", F.sha1(F.col("_payload"))).withColumn("_len", F.octet_length("_payload").cast("long"))
     twice = df.where(F.col("_len") >= least).groupBy("_sha").agg(F.max(id_col).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
@@ -43,8 +48,10 @@ def with_revisits(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", l
 def write_warc(pages: DataFrame, path: str, scratch: Scratch, id_col: str = "page_id", url: str = "url", body: str = "html", date: str = "2024-01-01T00:00:00Z", rows_per_file: int = 50_000) -> None:
     """Writes a record per row; a null body is an empty payload, a null url leaves its header out.
 
-    Record ids carry the row's id (``null`` if it is null). Revisits hold no
-    payload but its digest and length. Line ends in urls become spaces.
+    Record ids carry the row's id (``null`` if it is null; repeated ids and
+    rows are records of their own). Revisits hold no payload but its digest and
+    length. Line ends in urls become spaces. Other columns are left out. An
+    empty table makes an archive without records.
     """
     df = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("_url"), F.coalesce(F.col(body).cast("binary"), F.lit(b"")).alias("_payload"))
     df = with_revisits(df, scratch)
@@ -108,6 +115,19 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+@contextlib.contextmanager
+def _same_splits(scratch: Scratch, conf: str = "spark.sql.files.minPartitionNum"):
+    """How files are cut into splits doesn't change when executors come or go between the scans of a run, so each numbers pieces alike."""
+    spark = scratch.spark
+    was = spark.conf.get(conf, None)
+    scratch.splits = getattr(scratch, "splits", None) or was or str(spark.sparkContext.defaultParallelism)
+    spark.conf.set(conf, scratch.splits)
+    try:
+        yield
+    finally:
+        spark.conf.unset(conf) if was is None else spark.conf.set(conf, was)
+
+
 def _jump(succ: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Each candidate's first successor that is not among these candidates, by pointer jumping."""
     where = np.searchsorted(offsets, succ)
@@ -127,7 +147,8 @@ def records(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     what lies behind it is no record. Files may be of any size: what one task
     holds is the candidates of one split.
     """
-    pieces = scratch.table(_pieces(spark, path), "pieces")
+    with _same_splits(scratch):
+        pieces = scratch.table(_pieces(spark, path), "pieces")
     m = len(MAGIC)
     # A split's pieces are read in order; a piece starts behind all that came before it in its file, and a version line each.
     total = pieces.groupBy("file", "split").agg(F.sum(F.col("size") + m).alias("total"))
@@ -214,8 +235,10 @@ def read_warc(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
 
 
 def _joined_payloads(spark: SparkSession, path: str, scratch: Scratch, split: DataFrame) -> DataFrame:
-    """Digest and length of payloads that hold version lines. Only their own pieces are read again and moved."""
-    m = len(MAGIC)
+    """Digest and length of payloads that hold version lines. Only their own pieces are read again and moved.
+
+    A piece is found again by its file, split and number, and must have its size; a record that isn't whole then is an error.
+    """
     placed = spark.read.parquet(scratch.path("placed")).select("file", "split", "nth", "offset", "size")
     starts = split.select("file", F.col("start").alias("offset"), "start", "succ", "head", "length", "ctype")
     last = Window.partitionBy("file", "split").orderBy("offset")
@@ -226,7 +249,7 @@ def _joined_payloads(spark: SparkSession, path: str, scratch: Scratch, split: Da
     ends = cut.groupBy("file", "split").agg(F.max_by("_r", F.when(F.col("start").isNotNull(), F.col("start"))).alias("_e"))
     ends = ends.select("file", "split", F.last("_e", True).over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)).alias("_e"))
     cut = cut.withColumn("_r", F.last("_r", True).over(last)).join(ends, ["file", "split"])
-    cut = cut.withColumn("_r", F.coalesce("_r", "_e")).where("offset >= _r.start and offset < _r.succ").select("file", "split", "nth", "offset", "_r.*")
+    cut = cut.withColumn("_r", F.coalesce("_r", "_e")).where("offset >= _r.start and offset < _r.succ").select("file", "split", "nth", "offset", "size", "_r.*")
     cut = scratch.table(cut, "split-pieces")
     again = spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"), F.col("value").cast("binary").alias("bytes")
@@ -238,9 +261,12 @@ def _joined_payloads(spark: SparkSession, path: str, scratch: Scratch, split: Da
         g = g.sort_values("offset")
         r = g.iloc[0]
         block = b"".join(MAGIC.encode() * bool(i) + bytes(b) for i, b in enumerate(g["bytes"]))[int(r["head"]) :][: int(r["length"])]
+        if len(block) != r["length"]:
+            raise ValueError(f"the record at {r['start']} of {r['file']} has {len(block)} of {r['length']} bytes: the archive has changed")
         if (r["ctype"] or "").startswith("application/http"):
             block = block[block.find(b"\r\n\r\n") + 4 :]
         return pd.DataFrame({"file": [r["file"]], "offset": [r["start"]], "sha_joined": [hashlib.sha1(block).hexdigest()], "len_joined": [len(block)]})
 
-    both = again.join(cut, ["file", "split", "nth"])
-    return scratch.table(both.groupBy("file", "start").applyInPandas(put, "file string, offset long, sha_joined string, len_joined long"), "joined")
+    both = again.join(cut, ["file", "split", "nth"]).where(F.octet_length("bytes") == F.col("size"))
+    with _same_splits(scratch):
+        return scratch.table(both.groupBy("file", "start").applyInPandas(put, "file string, offset long, sha_joined string, len_joined long"), "joined")
