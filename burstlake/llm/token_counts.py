@@ -76,14 +76,16 @@ def frequent_runs(docs: DataFrame, text: str = "text", most: int = 65_536, per_t
     return runs
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text: str = "text", most: int = 65_536, cache: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text: str = "text", most: int = 65_536, cache: int = 60_000_000) -> DataFrame:
     """One row per row of ``docs``: id, UTF-8 bytes, tokens, and whether they exceed ``limit``.
 
     ``tokenizer``: a file of the tokenizers library with a byte-level BPE, at the
     same path on every executor. Null and empty texts have 0 bytes and 0 tokens.
     Texts that hold a special string are encoded whole, as the library does it.
-    Repeated rows each get a row; other columns are left out. A worker's cache
-    is emptied at ``cache`` runs, so its memory is bounded.
+    Null and repeated ids and repeated rows each get a row; an empty table gives
+    none; other columns are left out. A worker's cache is emptied once it holds
+    ``cache`` bytes, counting 100 for each run besides its characters, so it has
+    no more than that and a batch's own runs.
     """
     spark = docs.sparkSession
     tok, _ = _tokenizer(tokenizer)
@@ -96,7 +98,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
         tok, known = _tokenizer(tokenizer)
         if known.get("of") is not table.value:
             known.clear()
-            known.update(of=table.value, all=dict(table.value))
+            known.update(of=table.value, all=dict(table.value), held=0)
         lengths = known["all"]
 
         def encode(texts):
@@ -111,19 +113,17 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
                 cut.append(encode([x])[0] if any(s in x for s in special) else _runs(x) if x else 0)
             split = [c for c in cut if isinstance(c, list)]
             heads = iter(encode([c[0] for c in split]))
+            if known["held"] > cache:
+                lengths = known["all"] = dict(table.value)
+                known["held"] = 0
             missing: set = set()
             for c in split:
                 missing.update(c[1:])
             missing = [m for m in missing if m not in lengths]
-            if len(lengths) + len(missing) > cache + len(table.value):
-                lengths = known["all"] = dict(table.value)
-                again: set = set()
-                for c in split:
-                    again.update(c[1:])
-                missing = [m for m in again if m not in lengths]
             for k in range(0, len(missing), 4096):
                 part = missing[k : k + 4096]
                 lengths.update(zip(part, encode([" " + m for m in part])))
+                known["held"] += sum(map(len, part)) + 100 * len(part)
             for c in cut:
                 if isinstance(c, list):
                     c = next(heads) + sum(map(lengths.__getitem__, c[1:]))
