@@ -9,6 +9,8 @@ after as many full epochs as the budget holds.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +44,25 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, most_epochs: int = 3)
     return df.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most_epochs: int = 3, seed: str = "mix-0", id_col: str = "doc_id", text: str = "text", source: str = "source", hex_digits: int = 3) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most_epochs: int = 3, seed: str = "mix-0", id_col: str = "doc_id", text: str = "text", source: str = "source", rows_per_range: int = 100_000, keep: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target, and the words the mix takes of it.
 
     A source's taken words are the floor of its target, to the word: the last
     document may be taken in part. Null texts have size 0; null is a source of
     its own; empty sources have target 0. Repeated rows are documents of their
     own. Keys depend on id and seed alone, so reruns agree; of rows with one id,
-    smaller ones come first. ``hex_digits``: 16 to that power ranges a source.
+    smaller ones come first. Null ids are documents like others; an empty table
+    gives no rows. Ranges are as many as keep one under ``rows_per_range`` rows,
+    whatever the table's size. ``keep``: columns of ``docs`` to pass on, but
+    those of the result's names.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = scratch.table(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), key.alias("key")), "sized")
-    sized = sized.withColumn("part", F.substring("key", 1, hex_digits))
+    passed = [c for c in (keep or []) if c not in {id_col, "size", "source_size", "target", "taken"}]
+    rest = F.struct(*[F.col(c) for c in passed]) if passed else F.lit(None).cast("int")
+    sized = scratch.table(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), key.alias("key"), rest.alias("rest")), "sized")
+    digits = max(3, math.ceil(math.log(max(1, sized.count() / rows_per_range), 16)))
+    sized = sized.withColumn("part", F.substring("key", 1, digits))
     parts = sized.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     budget = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, most_epochs)
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,4 +75,4 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most_epochs: int = 3, seed: s
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0)
     rest = words - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.least(F.greatest(rest - (F.col("ahead") + F.col("run") - F.col("size")), F.lit(0)), F.col("size"))
-    return rows.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"rest.{c}").alias(c) for c in passed])
