@@ -6,6 +6,7 @@ table outlives any executor, and a reader needs nothing but the shared folder.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,11 +32,34 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: The tables of runs in each ``scoped`` block, the innermost last.
+_OPEN: list = []
+
+
+@contextlib.contextmanager
+def scoped():
+    """Deletes the scratch tables of all operators called inside, once the block is left.
+
+    Results are lazy and read such tables: write what is wanted inside.
+
+        with scoped():
+            ngram_join(docs).write.parquet(path)
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for scratch in _OPEN.pop():
+            scratch.drop()
+
+
 class Scratch:
-    """Tables of one run of an operator, each in a folder below the shared one."""
+    """Tables of one run of an operator, each in a folder below the shared one. They stay until ``scoped`` or ``drop`` deletes them."""
 
     def __init__(self, spark: SparkSession, owner: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{owner}-{uuid.uuid4().hex}"
+        for runs in _OPEN[-1:]:
+            runs.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
