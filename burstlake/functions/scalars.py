@@ -1,4 +1,4 @@
-"""Scalar functions as column expressions (survey §2.9, F4-F8, F13, P9, P13)."""
+"""Scalar functions as column expressions (survey §2.9, F4-F8, F13, P9, P13). None of them reads the session's time zone."""
 
 from __future__ import annotations
 
@@ -32,11 +32,19 @@ def file_number(stem: Column) -> Column:
     return F.coalesce(F.element_at(F.filter(F.array(F.regexp_extract(stem, r"([0-9]+)[^0-9]*$", 1)), lambda s: s != ""), 1).cast("decimal(38,0)"), F.lit(-1).cast("decimal(38,0)"))
 
 
+def naive_seconds(ts: Column) -> Column:
+    """Seconds since 1970 of a time without a zone, to the microsecond, whatever the session's zone is."""
+    micros = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    day = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return (((day * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60_000_000 + micros) / 1e6
+
+
 def exif_seconds(stamp: Column, subsec: Column) -> Column:
     """Seconds of an EXIF time with its fraction, null on garbage (X1); times are naive."""
     digits = F.regexp_replace(F.coalesce(subsec, F.lit("")), "[^0-9]", "")
-    whole = F.try_to_timestamp(F.substring(F.replace(stamp, F.lit("\0"), F.lit("")), 1, 19), F.lit("yyyy:MM:dd HH:mm:ss"))
-    return F.unix_micros(whole) / 1e6 + F.concat(F.lit("0."), F.when(digits == "", "0").otherwise(digits)).cast("double")
+    text = F.substring(F.replace(stamp, F.lit("\0"), F.lit("")), 1, 19)
+    parts = [F.regexp_extract(text, r"^(\d{4}):(\d\d):(\d\d) (\d\d):(\d\d):([0-5]\d)$", k).try_cast("int") for k in range(1, 7)]
+    return naive_seconds(F.try_make_timestamp_ntz(*parts)) + F.concat(F.lit("0."), F.when(digits == "", "0").otherwise(digits)).cast("double")
 
 
 def clock(seconds: Column) -> Column:
@@ -53,6 +61,19 @@ def byte_size(n: Column) -> Column:
     return F.when(n >= mb, F.format_string("%.1f МБ", n / mb)).when(n >= kb, F.concat(F.bround(n / kb, 0).cast("long").cast("string"), F.lit(" КБ"))).otherwise(F.concat(n.cast("string"), F.lit(" Б")))
 
 
+def suffix_problem(s: Column) -> Column:
+    """Why a text can't be put behind a file's stem; null if it can."""
+    s = F.coalesce(s, F.lit(""))
+    edge = s.rlike(r"^[ .]|[ .]$") & s.rlike(r"[^ .]")
+    return F.when(s.rlike(r'[\\/:*?"<>|]'), "reserved").when(s.rlike(r"[\x00-\x1F]"), "control").when(edge, "edge")
+
+
+def clean_suffix(s: Column, longest: int = 40) -> Column:
+    """What of a text can be put behind a stem."""
+    kept = F.regexp_replace(F.coalesce(s, F.lit("")), r'[\\/:*?"<>|\x00-\x1F]', "")
+    return F.left(F.regexp_replace(F.trim(kept), r"^[. ]+|[. ]+$", ""), F.lit(longest))
+
+
 def plural(n: Column, one: str, few: str, many: str) -> Column:
     """Russian plural forms."""
     tens, ones = n % 100, n % 10
@@ -146,7 +167,7 @@ LETTERS = {
     "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f",
     "х": "h", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
 }
-SIGNS = {"«": '"', "»": '"', "„": '"', "“": '"', "”": '"', "‘": "'", "’": "'", "—": "-", "–": "-", "‑": "-", "−": "-", "…": "...", "×": "x", "→": "->", "№": "N", "•": "*", "─": "-"}
+SIGNS = {"«": '"', "»": '"', "„": '"', "“": '"', "”": '"', "‘": "'", "’": "'", "—": "-", "–": "-", "‑": "-", "−": "-", "…": "...", "×": "x", "→": "->", "№": "N", "•": "*", "\u00a0": " ", "─": "-"}
 STYLES = ("bold", "regular", "medium", "semibold", "light", "black", "italic")
 
 

@@ -14,16 +14,18 @@ from ..operators import bursts as B
 from ..operators import relate as R
 from ..operators import segments as G
 from ..operators import sinkplan as P
-from .bindings import FILES_SQL, FRAMES_SQL, files, frames, table
+from ..operators import cull as C
+from .bindings import FILES_SQL, FRAMES_SQL, PORTRAITS_SQL, files, frames, portraits, table
 
 #: Gaps that suit the events table, whose users pause for hours.
 GAP, BREAK, NEAR = 14_400.0, 86_400.0, 3_600.0
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_SINGLE, _PLAIN, _SEVERAL = S.folding()
-_FOLDED = f"translate(text, '{_SINGLE}', '{_PLAIN.replace(chr(39), chr(39) * 2)}')"
-for _k, _v in _SEVERAL.items():
-    _FOLDED = f"replace({_FOLDED}, '{_k}', '{_v}')"
+# Folding to ASCII, written out for the SQL apart from the operator's own table.
+_FOLDED = "text"
+for _pair in "ж zh,ц ts,ч ch,ш sh,щ sch,ю yu,я ya,Ж Zh,Ц Ts,Ч Ch,Ш Sh,Щ Sch,Ю Yu,Я Ya,… ...,→ ->".split(","):
+    _FOLDED = f"replace({_FOLDED}, '{_pair.split()[0]}', '{_pair.split()[1]}')"
+_FOLDED = f"translate({_FOLDED}, 'абвгдеёзийклмнопрстуфхыэАБВГДЕЁЗИЙКЛМНОПРСТУФХЫЭ«»„“”‘’—–‑−×№•' || chr(160) || '─ъь', 'abvgdeeziyklmnoprstufhyeABVGDEEZIYKLMNOPRSTUFHYE\"\"\"\"\"''''----xN* -')"
 _BURSTS = f"""{FRAMES_SQL}, lagged AS (SELECT *, t - lag(t) OVER w AS gap FROM frames WINDOW w AS (PARTITION BY shoot_id ORDER BY t, frame_id)),
  b AS (SELECT *, sum(CASE WHEN gap >= 0 AND gap <= {GAP} THEN 0 ELSE 1 END) OVER (PARTITION BY shoot_id ORDER BY t, frame_id ROWS UNBOUNDED PRECEDING) - 1 AS burst_id FROM lagged)"""
 _SEGMENTS = f"""{FRAMES_SQL}, s AS (SELECT *, sum(CASE WHEN gap < {BREAK} THEN 0 ELSE 1 END) OVER (PARTITION BY shoot_id ORDER BY t, frame_id ROWS UNBOUNDED PRECEDING) - 1 AS segment_id
@@ -178,13 +180,48 @@ def _reps(spark, sf_dir):
     return df.withColumn("capture_order", F.col("frame_id"))
 
 
-@query(None)
+def _picks_sql(n):
+    """K2 over ``_reps``, whose frames are alike by time within a segment: each segment's picks are a fold over its queue.
+
+    ``n``: SQL for the number wanted. ``quota`` is the divisor method twice, over frames that are apart and over the rest.
+    """
+
+    def shares(name, source, cap, want):
+        return f"""{name}_l AS (SELECT shoot_id, segment_id, {cap} AS cap, {want} AS n, count(*) FILTER ({cap} > 0) OVER (PARTITION BY shoot_id) AS live FROM {source}),
+ {name}_x AS (SELECT *, unnest(range(1, cap)) AS k FROM {name}_l WHERE n >= live AND cap > 1),
+ {name}_e AS (SELECT shoot_id, segment_id, count(*) AS extra FROM (SELECT * FROM {name}_x QUALIFY row_number() OVER (PARTITION BY shoot_id ORDER BY pow(cap::DOUBLE, 0.5::DOUBLE) / (k + 0.5::DOUBLE) DESC, segment_id, k) <= n - live) GROUP BY ALL),
+ {name}_c AS (SELECT *, len([j for j in range(1, n + 1) if floor(j * (live::DOUBLE / n))::BIGINT <= at_]) AS chunk FROM (SELECT *, row_number() OVER (PARTITION BY shoot_id ORDER BY segment_id) - 1 AS at_ FROM {name}_l WHERE n < live AND n > 0 AND cap > 0)),
+ {name}_f AS (SELECT shoot_id, segment_id FROM {name}_c QUALIFY row_number() OVER (PARTITION BY shoot_id, chunk ORDER BY cap DESC, segment_id) = 1),
+ {name} AS (SELECT l.shoot_id, l.segment_id, CASE WHEN l.cap <= 0 OR l.n <= 0 THEN 0 WHEN l.n < l.live THEN CASE WHEN f.shoot_id IS NULL THEN 0 ELSE 1 END ELSE 1 + coalesce(e.extra, 0) END AS q
+  FROM {name}_l l LEFT JOIN {name}_e e USING (shoot_id, segment_id) LEFT JOIN {name}_f f ON f.shoot_id = l.shoot_id AND f.segment_id = l.segment_id)"""
+
+    near = NEAR * 8
+    return f"""{_BURSTS}, rep AS (SELECT shoot_id, frame_id, t, penalty, sharpness FROM b QUALIFY row_number() OVER (PARTITION BY shoot_id, burst_id ORDER BY penalty, sharpness DESC, frame_id) = 1),
+ rs AS (SELECT *, sum(CASE WHEN gap < {BREAK} THEN 0 ELSE 1 END) OVER (PARTITION BY shoot_id ORDER BY t, frame_id ROWS UNBOUNDED PRECEDING) - 1 AS segment_id FROM (SELECT *, t - lag(t) OVER (PARTITION BY shoot_id ORDER BY t, frame_id) AS gap FROM rep)),
+ rp AS (SELECT *, t - min(t) OVER (PARTITION BY shoot_id) AS t_rel, CASE WHEN c <= 1 THEN 0.5::DOUBLE ELSE (rk - 1 + 0.5::DOUBLE * (eq - 1)) / (c - 1) END AS pct FROM (SELECT *, count(*) OVER (PARTITION BY shoot_id, segment_id)::DOUBLE AS c,
+  rank() OVER (PARTITION BY shoot_id, segment_id ORDER BY sharpness)::DOUBLE AS rk, count(*) OVER (PARTITION BY shoot_id, segment_id, sharpness)::DOUBLE AS eq FROM rs)),
+ pool AS (SELECT shoot_id, segment_id, count(*) AS m, list(t_rel ORDER BY penalty, pct DESC, frame_id) AS ts, list(penalty ORDER BY penalty, pct DESC, frame_id) AS ps, list(frame_id ORDER BY penalty, pct DESC, frame_id) AS ids FROM rp GROUP BY ALL),
+ apart AS (SELECT *, len(list_reduce([[i] for i in range(2, m + 1)], lambda acc, x: CASE WHEN len([j for j in acc if abs(ts[j] - ts[x[1]]) <= {near}]) > 0 THEN acc ELSE acc || x END, [1::BIGINT])) AS d FROM pool),
+ want AS (SELECT *, least({n}, sum(m) OVER (PARTITION BY shoot_id))::BIGINT AS n, sum(d) OVER (PARTITION BY shoot_id)::BIGINT AS ds FROM apart),
+ {shares("q1", "want", "d", "least(n, ds)")},
+ left_ AS (SELECT w.shoot_id, w.segment_id, w.n, w.m - q1.q AS spare, (sum(q1.q) OVER (PARTITION BY w.shoot_id))::BIGINT AS have FROM want w JOIN q1 USING (shoot_id, segment_id)),
+ {shares("q2", "left_", "spare", "n - have")},
+ quota AS (SELECT w.*, q1.q + q2.q AS quota FROM want w JOIN q1 USING (shoot_id, segment_id) JOIN q2 USING (shoot_id, segment_id)),
+ taken AS (SELECT *, list_reduce([[k] for k in range(2, quota + 1)], lambda acc, x: acc || [list_min([{{'p': ps[i], 'd': len([j for j in acc if abs(ts[j] - ts[i]) <= {near}]) > 0, 'i': i}} for i in range(1, m + 1) if NOT list_contains(acc, i)]).i], [1::BIGINT]) AS got FROM quota WHERE quota > 0),
+ each_ AS (SELECT shoot_id, segment_id, generate_subscripts(got, 1) - 1 AS round, unnest([ids[i] for i in got]) AS capture_order, unnest([ps[i] for i in got]) AS penalty FROM taken),
+ picks AS (SELECT *, row_number() OVER (PARTITION BY shoot_id ORDER BY penalty, round, capture_order) - 1 AS place FROM each_)"""
+
+
+@query(f"WITH {_picks_sql(30)} SELECT shoot_id, capture_order, segment_id, penalty, round, place FROM picks")
 def suggested_picks(spark, sf_dir):
-    """K2, K8, T-3: up to 30 picks a shoot; held against a plain version in the tests."""
+    """K2, K8, T-3, P5 by time: up to 30 picks a shoot."""
     return G.suggest(_reps(spark, sf_dir), 30, G.PickRules(near_s=NEAR * 8))
 
 
-@query(None)
+@query(f"""WITH {_picks_sql(1_000_000)}, ranked AS (SELECT *, row_number() OVER (PARTITION BY shoot_id, burst_id ORDER BY penalty, sharpness DESC, frame_id) AS burst_rank FROM b),
+ lead_ AS (SELECT r.shoot_id, r.burst_id, min(p.place) AS lead_ FROM ranked r JOIN picks p ON p.shoot_id = r.shoot_id AND p.capture_order = r.frame_id GROUP BY ALL)
+ SELECT r.shoot_id, r.frame_id, row_number() OVER (PARTITION BY r.shoot_id ORDER BY CASE WHEN p.place IS NOT NULL THEN 0 WHEN l.lead_ IS NOT NULL THEN 1 ELSE 2 END, coalesce(p.place, l.lead_, r.frame_id), r.burst_rank, r.frame_id) - 1 AS full_place
+ FROM ranked r LEFT JOIN picks p ON p.shoot_id = r.shoot_id AND p.capture_order = r.frame_id LEFT JOIN lead_ l ON l.shoot_id = r.shoot_id AND l.burst_id = r.burst_id""")
 def every_frame_in_order(spark, sf_dir):
     """K6, U4."""
     df = B.burst_rank(_bursts(spark, sf_dir), ["shoot_id", "burst_id"], order="frame_id").withColumn("capture_order", F.col("frame_id"))
@@ -192,6 +229,41 @@ def every_frame_in_order(spark, sf_dir):
     return G.full_order(df, picks).select("shoot_id", "frame_id", "full_place")
 
 
+_K8 = f"""WITH RECURSIVE {PORTRAITS_SQL}, r AS (SELECT *, row_number() OVER w AS rk, last_value(t IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS prev, first_value(t IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_t FROM portraits WINDOW w AS (PARTITION BY shoot_id ORDER BY frame_id)),
+ o AS (SELECT *, row_number() OVER (PARTITION BY shoot_id ORDER BY coalesce(t, coalesce(prev, first_t) + 1e-3::DOUBLE * rk), frame_id) - 1 AS i FROM r),
+ cand AS (SELECT *, x > 2 AND y > 2 AND x + s < 638 AND y + s < 430 AS inner_, s * s * (1 - 0.6::DOUBLE * least(sqrt(pow((x + s / 2.0::DOUBLE) / 640 - 0.5::DOUBLE, 2) + pow((y + s / 2.0::DOUBLE) / 432 - 0.5::DOUBLE, 2)), 1)) AS v FROM faces WHERE s >= 32),
+ subj AS (SELECT * FROM (SELECT *, bool_or(inner_) OVER (PARTITION BY frame_id) AS any_ FROM cand) WHERE inner_ OR NOT any_ QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY v DESC, k) = 1),
+ a AS (SELECT o.*, s.s, s.clip_hi, s.mean, CASE WHEN NOT bad AND s.s IS NOT NULL THEN ln(greatest(s.ten_n, 1e-9::DOUBLE)) - 0.596::DOUBLE * ln(s.s::DOUBLE) END AS face_score FROM o LEFT JOIN subj s USING (frame_id)),
+ sl AS (SELECT shoot_id, list(face_score ORDER BY face_score) FILTER (face_score IS NOT NULL) AS fs FROM a GROUP BY 1),
+ rest AS (SELECT a.shoot_id, a.frame_id, a.frame_sharp, fs, (row_number() OVER (PARTITION BY a.shoot_id ORDER BY frame_sharp, i) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY a.shoot_id) * (len(fs) - 1) AS at_ FROM a JOIN sl USING (shoot_id) WHERE NOT bad AND face_score IS NULL),
+ rv AS (SELECT shoot_id, frame_id, CASE WHEN len(fs) >= 5 THEN fs[floor(at_)::BIGINT + 1] + (fs[least(floor(at_)::BIGINT + 2, len(fs))] - fs[floor(at_)::BIGINT + 1]) * (at_ - floor(at_)) ELSE frame_sharp END AS v FROM rest),
+ sc AS (SELECT a.*, coalesce(face_score, rv.v) AS known, CASE WHEN face_score IS NOT NULL THEN 'face' WHEN rv.v IS NOT NULL THEN 'frame' END AS basis FROM a LEFT JOIN rv USING (shoot_id, frame_id)),
+ sh AS (SELECT *, coalesce(known, min(known) OVER (PARTITION BY shoot_id) - 1) AS sharpness, t - lag(t) OVER w AS gap, lag(bits) OVER w AS bits0, lag(size) OVER w AS size0, lag(bad) OVER w AS bad0 FROM sc WINDOW w AS (PARTITION BY shoot_id ORDER BY i)),
+ jn AS (SELECT *, list_sum([CASE WHEN bits[k] <> bits0[k] THEN 1 ELSE 0 END for k in range(1, 65)]) AS ham, list_sum([least(size[k] / list_sum(size), size0[k] / list_sum(size0)) for k in range(1, 65)]) AS inter FROM sh),
+ bu AS (SELECT *, sum(CASE WHEN NOT bad AND NOT bad0 AND gap >= 0 AND gap <= 8 AND (ham <= 12 OR inter >= 0.88 OR (gap <= 2.5 AND ham <= 22)) THEN 0 ELSE 1 END) OVER (PARTITION BY shoot_id ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS burst_id FROM jn),
+ g AS (SELECT *, coalesce(gap, 0) AS pause, coalesce(burst_id <> lag(burst_id) OVER (PARTITION BY shoot_id ORDER BY i), true) AS legal FROM bu),
+ pc AS (SELECT *, sum(CASE WHEN legal AND pause >= 180 THEN 1 ELSE 0 END) OVER (PARTITION BY shoot_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM g),
+ seg(shoot_id, a, z) AS (SELECT shoot_id, min(i), max(i) FROM pc GROUP BY shoot_id, c UNION ALL
+  SELECT s.shoot_id, CASE side WHEN 0 THEN s.a ELSE s.best END, CASE side WHEN 0 THEN s.best - 1 ELSE s.z END FROM (SELECT seg.shoot_id, seg.a, seg.z,
+   (SELECT x.i FROM g x WHERE x.shoot_id = seg.shoot_id AND x.i BETWEEN seg.a + 3 AND seg.z - 2 AND x.legal AND x.pause >= 30 ORDER BY x.pause DESC, x.i DESC LIMIT 1) AS best FROM seg
+   JOIN g ga ON ga.shoot_id = seg.shoot_id AND ga.i = seg.a JOIN g gz ON gz.shoot_id = seg.shoot_id AND gz.i = seg.z WHERE gz.t - ga.t > 300) s, (VALUES (0), (1)) v(side) WHERE s.best IS NOT NULL),
+ st AS (SELECT DISTINCT shoot_id, a FROM seg), sg AS (SELECT g.*, sum(CASE WHEN st.a IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY g.shoot_id ORDER BY g.i ROWS UNBOUNDED PRECEDING) - 1 AS segment_id FROM g LEFT JOIN st ON st.shoot_id = g.shoot_id AND st.a = g.i),
+ m AS (SELECT *, median(sharpness) OVER p AS med, count(*) OVER p AS n, rank() OVER (PARTITION BY shoot_id, segment_id, bad ORDER BY sharpness) AS rk2, count(*) OVER (PARTITION BY shoot_id, segment_id, bad, sharpness) AS eq FROM sg WINDOW p AS (PARTITION BY shoot_id, segment_id, bad)),
+ d AS (SELECT *, 1.4826::DOUBLE * median(abs(sharpness - med)) OVER (PARTITION BY shoot_id, segment_id, bad) AS mad, max(CASE WHEN NOT bad AND s IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY shoot_id, burst_id) = 1 AS lent FROM m),
+ fl AS (SELECT *, CASE WHEN bad THEN ['unreadable'] ELSE (CASE WHEN lapvar < 120 OR (n >= 6 AND mad > 0 AND sharpness < med - 2.5::DOUBLE * mad) THEN ['soft'] ELSE [] END) || (CASE WHEN n_faces = 0 AND NOT lent THEN ['no_face'] ELSE [] END)
+  || (CASE WHEN clip_hi > 0.02 THEN ['blown_face'] ELSE [] END) || (CASE WHEN mean < 45 THEN ['dark_face'] ELSE [] END) END AS flags FROM d),
+ pe AS (SELECT *, list_sum([CASE f WHEN 'unreadable' THEN 100 WHEN 'soft' THEN 4 WHEN 'no_face' THEN 1 ELSE 2 END for f in flags]) AS pen, max(CASE WHEN basis = 'face' THEN 1 ELSE 0 END) OVER q + max(CASE WHEN basis = 'frame' THEN 1 ELSE 0 END) OVER q = 2 AS mixed FROM fl WINDOW q AS (PARTITION BY shoot_id, burst_id))
+ SELECT shoot_id, frame_id, i AS capture_order, burst_id, segment_id, round(sharpness, 6) AS sharpness, basis, round(CASE WHEN bad THEN NULL WHEN n <= 1 THEN 0.5::DOUBLE ELSE (rk2 - 1 + 0.5::DOUBLE * (eq - 1)) / (n - 1) END, 6) AS pct, array_to_string(flags, ',') AS flags, coalesce(pen, 0)::INT AS penalty,
+ row_number() OVER (PARTITION BY shoot_id, burst_id ORDER BY coalesce(pen, 0), CASE WHEN mixed AND NOT bad THEN frame_sharp ELSE sharpness END DESC, i) AS burst_rank FROM pe"""
+
+
+@query(_K8)
+def cull_result(spark, sf_dir):
+    """K8 whole: W1-W3, F13, W8, A7, P4, W2, K1, W5, A8, P3, W9, A9, X19, W6."""
+    df = C.build_result(portraits(spark, sf_dir))
+    return df.select("shoot_id", "frame_id", "capture_order", "burst_id", "segment_id", F.round("sharpness", 6).alias("sharpness"), "basis", F.round("pct", 6).alias("pct"), F.array_join("flags", ",").alias("flags"), "penalty", "burst_rank")
+
+
 @query("""SELECT l_returnflag, count(*) AS seen, count_if(l_linestatus = 'O') AS ok, count_if(l_linestatus <> 'O') AS failed, count_if(l_discount > 0.05) AS full_n, count_if(l_discount <= 0.05 AND l_quantity < 10) AS small_n, round(sum(l_extendedprice), 2) AS bytes,
  greatest(0, count_if(l_linestatus = 'O') - count_if(l_discount > 0.05)) AS reduced FROM lineitem GROUP BY 1""")
 def run_totals(spark, sf_dir):
@@ -274,10 +346,12 @@ def distinct_keep_first(spark, sf_dir):
     return R.distinct_keep_first(table(spark, sf_dir, "lineitem"), ["l_partkey"], ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_partkey", "l_suppkey")
 
 
-@query("SELECT c_nationkey AS k FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal < 500) WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT DISTINCT s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal < 500)")
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority LIKE '1%'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F')
+ SELECT k FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k FROM b WHERE k NOT IN (SELECT k FROM a)""")
 def symmetric_diff(spark, sf_dir):
-    """U2."""
-    return R.symmetric_difference(table(spark, sf_dir, "customer").where("c_acctbal < 500").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")))
+    """Customers with an urgent order or a finished one, but not both."""
+    o = table(spark, sf_dir, "orders")
+    return R.symmetric_difference(o.where("o_orderpriority like '1%'").select(F.col("o_custkey").alias("k")), o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")))
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1 ORDER BY o_orderkey DESC LIMIT 200")
@@ -354,9 +428,8 @@ def clock_and_plural(spark, sf_dir):
  round(epoch_us(try_strptime(CASE WHEN event_id % 9 = 0 THEN 'garbage' ELSE strftime(ts, '%Y:%m:%d %H:%M:%S') END, '%Y:%m:%d %H:%M:%S')) / 1e6 + CAST('0.' || CAST(event_id % 100 AS VARCHAR) AS DOUBLE), 3) AS t FROM events""")
 def exif_time(spark, sf_dir):
     """X1, S24."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     e = table(spark, sf_dir, "events")
-    stamp = F.when(F.col("event_id") % 9 == 0, "garbage").otherwise(F.date_format("ts", "yyyy:MM:dd HH:mm:ss"))
+    stamp = F.when(F.col("event_id") % 9 == 0, "garbage").otherwise(F.replace(F.substring(F.col("ts").cast("string"), 1, 19), F.lit("-"), F.lit(":")))
     t = S.exif_seconds(stamp, (F.col("event_id") % 100).cast("string"))
     return e.select("event_id", t.isNotNull().alias("ok"), F.round(t, 3).alias("t"))
 
@@ -423,9 +496,9 @@ def column_widths(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.least(F.lit(34), F.greatest(F.lit(12), F.max(F.length(F.col("l_partkey").cast("string")) * 5))).alias("width"))
 
 
-@query(None)
+@query(f"""WITH {FILES_SQL} SELECT dir AS out_dir, pos, path AS src, stem || CASE WHEN k > 1 THEN '_' || k ELSE '' END || '.jpg' AS dst_name FROM (SELECT *, row_number() OVER (PARTITION BY dir, lower(stem) ORDER BY pos) AS k FROM files)""")
 def planned_names(spark, sf_dir):
-    """Names that don't collide, in input order; held against a plain version in the tests."""
+    """Names that don't collide, in input order. No stem here looks like a numbered one; the tests have those."""
     f = files(spark, sf_dir).select("pos", F.col("dir").alias("out_dir"), "stem", F.col("path").alias("src"))
     return P.plan_names(f)
 
@@ -457,10 +530,10 @@ def pitch_and_preview_share(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.display_pitch(key % 4000 + 1, size * 20).alias("pitch"), share.alias("share"))
 
 
-@query(f"SELECT doc_id, md5({_FOLDED}) AS folded FROM documents")
+@query(f"SELECT doc_id, md5({_FOLDED}) AS folded FROM (SELECT doc_id, text || 'Щука«ёж»' || chr(160) || '№' || chr(8722) || 'ъЯ…' AS text FROM documents)")
 def ascii_text(spark, sf_dir):
-    """Whole texts in plain letters and signs."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(S.folded(F.col("text"))).alias("folded"))
+    """Whole texts in plain letters and signs, with some of each behind them."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(S.folded(F.concat("text", F.lit("Щука«ёж»\u00a0№\u2212ъЯ…")))).alias("folded"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'skipped' WHEN p_partkey % 7 = 0 THEN 'error'
@@ -480,7 +553,7 @@ def font_families(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.short_family(f).alias("family"), S.plain_key(f).alias("name_key"))
 
 
-@query("SELECT path_key, count(*) AS n FROM (SELECT lower(dir || '/' || stem || '.' || ext) AS path_key FROM files) GROUP BY 1".join([f"WITH {FILES_SQL} ", ""]))
+@query(f"WITH {FILES_SQL} SELECT path_key, count(*) AS n FROM (SELECT lower(dir || '/' || stem || '.' || ext) AS path_key FROM files) GROUP BY 1")
 def path_keys(spark, sf_dir):
     """Spellings of one destination."""
     odd = F.concat("dir", F.when(F.col("pos") % 2 == 0, "//").otherwise("/./"), "stem", F.lit("."), "ext")
@@ -518,9 +591,17 @@ def crop_boxes(spark, sf_dir):
     return df.select("p_partkey", F.col("b.left").alias("x0"), F.col("b.top").alias("y0"), F.col("b.right").alias("x1"), F.col("b.bottom").alias("y1"))
 
 
-@query(None)
+_WORDS = r"""regexp_extract_all(p, '[^\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')"""
+
+
+@query(f"""WITH p AS (SELECT doc_id, i, {{'n': 0::BIGINT, 'widest': 0::BIGINT, 'line': 0::BIGINT}} AS none,
+  flatten([CASE WHEN length(w) <= 60 THEN [{{'n': length(w)::BIGINT, 'widest': 1::BIGINT, 'line': 0::BIGINT}}] ELSE [{{'n': length(x)::BIGINT, 'widest': CASE WHEN k = 1 THEN 1::BIGINT ELSE 0::BIGINT END, 'line': 0::BIGINT}} for x, k in
+   regexp_extract_all(w, '^-[^-]*(?:-+$|-|$)|[^-]+(?:-+$|-|$)|-+')] END for w in {_WORDS}]) AS parts FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS p, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+ f AS (SELECT doc_id, list_max([x.n for x in parts]) > 60 AS wide, list_reduce(parts, lambda a, x: CASE WHEN a.line = 0 THEN {{'n': 1::BIGINT, 'widest': greatest(a.widest, x.n), 'line': x.n}}
+  WHEN a.line + x.widest + x.n <= 60 THEN {{'n': a.n, 'widest': greatest(a.widest, a.line + x.widest + x.n), 'line': a.line + x.widest + x.n}} ELSE {{'n': a.n + 1, 'widest': greatest(a.widest, x.n), 'line': x.n}} END, none) AS r FROM p)
+ SELECT doc_id, CASE WHEN NOT bool_or(coalesce(wide, false)) THEN sum(r.n) END::INT AS n_lines, CASE WHEN NOT bool_or(coalesce(wide, false)) THEN max(r.widest) END::INT AS widest FROM f GROUP BY 1""")
 def wrapped_texts(spark, sf_dir):
-    """Whole texts in lines of 60 characters; held against a plain version in the tests."""
+    """Whole texts in lines of 60 characters. In the SQL a part is its width, whether a blank stands before it, and the fold's line."""
     return wrapping.wrap_texts(table(spark, sf_dir, "documents"), "doc_id", 60)
 
 
@@ -548,7 +629,12 @@ def screened_frames(spark, sf_dir):
     return _digested(tone.over_frames(_pictures(spark, sf_dir), lambda rgb: halftone.halftone(rgb, 3.0, paper, ink)))
 
 
-@query(None)
+_LEVEL = "lpad(lower(to_hex(least(greatest(floor((embedding[{i}]::DOUBLE + 0.5) * {m}), 0), 255)::BIGINT)), 2, '0')"
+_TURNED = "CASE o WHEN 2 THEN y * 8 + 7 - x WHEN 3 THEN (7 - y) * 8 + 7 - x WHEN 4 THEN (7 - y) * 8 + x WHEN 5 THEN x * 8 + y WHEN 6 THEN (7 - x) * 8 + y WHEN 7 THEN (7 - x) * 8 + 7 - y WHEN 8 THEN x * 8 + 7 - y ELSE y * 8 + x END + 1"
+
+
+@query(f"""SELECT vec_id::VARCHAR AS path, 8::INT AS h, 8::INT AS w, sha1(unhex(array_to_string(flatten([flatten([[{", ".join(_LEVEL.format(i=f"({_TURNED})", m=230 + k) for k in (0, 8, 16))}] for x in range(0, 8)]) for y in range(0, 8)]), ''))) AS pixels, NULL::VARCHAR AS error
+ FROM (SELECT vec_id, embedding, vec_id % 8 + 1 AS o FROM embeddings)""")
 def turned_frames(spark, sf_dir):
     """Pixels turned as their orientation says."""
     df = _pictures(spark, sf_dir).withColumn("orientation", (F.col("path").cast("long") % 8 + 1).cast("int"))
