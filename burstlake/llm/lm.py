@@ -411,9 +411,14 @@ def _encode(docs: DataFrame, sent) -> DataFrame:
     return _over_arrow(docs, schema, make)
 
 
-def _flat(blobs: list[bytes]) -> tuple[np.ndarray, list[int]]:
-    """Entries of texts in a row, and how many each has."""
-    return np.frombuffer(b"".join(blobs), np.int32), [len(x) // 4 for x in blobs]
+def _flat(blobs: list[bytes], most: int = 1_000_000) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Entries of texts in a row, and how many each has, in parts of about ``most`` entries; a longer text is a part of its own."""
+    at, have = 0, 0
+    for k, x in enumerate(blobs):
+        have += len(x) // 4
+        if have >= most or k + 1 == len(blobs):
+            yield np.frombuffer(b"".join(blobs[at : k + 1]), np.int32), [len(b) // 4 for b in blobs[at : k + 1]]
+            at, have = k + 1, 0
 
 
 def _train(ids: DataFrame, sent, rounds: int, tokens: int, per_copy: int = 6_000_000, chunk: int = 1_000_000, block: int = 512) -> Model:
@@ -436,10 +441,10 @@ def _train(ids: DataFrame, sent, rounds: int, tokens: int, per_copy: int = 6_000
             trainer = Trainer(model, _worker()["noise"], tail=_worker()["within"])
 
             def each(cols):
-                w, sizes = _flat(cols["_ids"])
-                w1, w2 = _contexts(w, sizes, classes.start)
-                for a in range(0, len(w), chunk):
-                    trainer.train(w1[a : a + chunk], w2[a : a + chunk], w[a : a + chunk])
+                for w, sizes in _flat(cols["_ids"]):
+                    w1, w2 = _contexts(w, sizes, classes.start)
+                    for a in range(0, len(w), chunk):
+                        trainer.train(w1[a : a + chunk], w2[a : a + chunk], w[a : a + chunk])
 
             def last():
                 out: dict = {"which": [], "block": [], "at": [], "n": [], "rows": []}
@@ -490,11 +495,12 @@ def _score(docs: DataFrame, sent, params) -> DataFrame:
         shared_log, scores = _worker()["shared_log"], Scores(model, classes)
 
         def each(cols):
-            out: dict = {f.name: cols[f.name] for f in passed}
-            w, sizes = _flat(cols["_ids"])
-            w1, w2 = _contexts(w, sizes, classes.start)
-            logs = scores.of(w1, w2, w).astype(np.float64) / np.log(10) - shared_log[w]
-            return out | {"_class_log": np.add.reduceat(logs, np.cumsum([0, *sizes[:-1]])).tolist()}
+            out: list[float] = []
+            for w, sizes in _flat(cols["_ids"]):
+                w1, w2 = _contexts(w, sizes, classes.start)
+                logs = scores.of(w1, w2, w).astype(np.float64) / np.log(10) - shared_log[w]
+                out += np.add.reduceat(logs, np.cumsum([0, *sizes[:-1]])).tolist()
+            return {f.name: cols[f.name] for f in passed} | {"_class_log": out}
 
         return each
 
@@ -537,7 +543,7 @@ class Scores:
             z[at] = _log_sum((self.rc[0][w1[at]] + self.rc[1][w2[at]]) @ q[:, :-1].T + q[:, -1])
         return z
 
-    def of(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, chunk: int = 2_000_000, part: int = 250_000) -> np.ndarray:
+    def of(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, chunk: int = 2_000_000, part: int = 100_000) -> np.ndarray:
         """A stretch's memory is bounded by ``chunk`` and ``part``, not by its length."""
         out = np.empty(len(w), np.float32)
         for a in range(0, len(w), chunk):
