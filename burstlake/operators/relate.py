@@ -20,10 +20,16 @@ def latest_per_key(df: DataFrame, key: list[str], value: str, seq: str) -> DataF
 
 
 def upsert_tail(df: DataFrame, key: list[str], seq: str, most: int = 200) -> DataFrame:
-    """Each key's last row, the ``most`` latest of them (U5, T-9; of T-8 the newest alone, nothing keeps the current one)."""
+    """Each key's last row, the ``most`` latest of them (U5, T-9)."""
     return distinct_keep_first(df, key, [F.col(seq).desc()]).orderBy(F.col(seq).desc()).limit(most)
 
 
+def retained(df: DataFrame, key: str, seq: str, current, most: int = 40) -> DataFrame:
+    """The ``most`` latest keys, where the current one is never left out (T-8)."""
+    last = distinct_keep_first(df, [key], [F.col(seq).desc()])
+    return last.orderBy((F.col(key) == F.lit(current)).desc_nulls_last(), F.col(seq).desc(), F.col(key)).limit(most)
+
+
 def raw_jpeg_pairs(files: DataFrame, dir_: str = "dir", stem: str = "stem", ext: str = "ext", path: str = "path", pos: str = "pos") -> DataFrame:
     """A row per catalog item (J1, S3): the first JPEG of a stem with its first RAW, all others alone."""
     kind = F.when(F.lower(ext).isin(*JPEG), "j").when(F.lower(ext).isin(*RAW), "r").otherwise("o")
@@ -54,6 +60,26 @@ def ticked(items: DataFrame, ticks: DataFrame, key: list[str]) -> DataFrame:
     return items.join(ticks, key, "left_semi")
 
 
+def saved_ticks(items: DataFrame, saved: DataFrame, name: str = "name", pos: str = "pos") -> DataFrame:
+    """Items whose name is among the saved ones whatever its case; of items with one name the last."""
+    last = distinct_keep_first(items.withColumn("_key", F.lower(name)), ["_key"], [F.col(pos).desc()])
+    return last.join(saved.select(F.lower(name).alias("_saved")).distinct(), F.col("_key") == F.col("_saved"), "left_semi").drop("_key")
+
+
+def carry_over(fields: DataFrame, current: DataFrame, saved: DataFrame) -> DataFrame:
+    """(template, key, label, value): saved values of a template, or else what the current one has under the same key and label.
+
+    ``fields``: template, key, label, example; ``saved``: template, key, value; ``current``: key, label, value. A template
+    that has anything saved takes nothing over, and saved blanks stay; what is blank elsewhere isn't taken.
+    """
+    kept = saved.select("template", "key", F.coalesce("value", F.lit("")).alias("_saved"))
+    known = saved.select("template").distinct().withColumn("_known", F.lit(True))
+    here = current.where(F.trim(F.coalesce("value", F.lit(""))) != "").select("key", "label", F.col("value").alias("_here"))
+    df = fields.join(known, "template", "left").join(kept, ["template", "key"], "left").join(here, ["key", "label"], "left")
+    value = F.when(F.col("_known"), F.col("_saved")).otherwise(F.col("_here"))
+    return df.select("template", "key", "label", F.coalesce(value, "example", F.lit("")).alias("value"))
+
+
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """What is in one of two sets."""
     a, b = a.distinct(), b.distinct()
@@ -61,16 +87,35 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def in_range(points: DataFrame, ranges: DataFrame, part: list[str], at: str, first: str, last: str) -> DataFrame:
-    """Points with the range of their part that holds them (J14). Ranges don't overlap, so a join by part and a test is a row a point."""
-    return points.join(ranges, [*part], "inner").where(F.col(at).between(F.col(first), F.col(last)))
+    """Points with the range of their part that holds them.
+
+    Ranges don't overlap, so the last one that begins at a point or before it is the only one that can hold it: points and
+    ranges are put in one order and it's carried on, which costs one sort and no row for a point and another range.
+    """
+    mine, theirs = [c for c in points.columns if c not in part], [c for c in ranges.columns if c not in part]
+    p = points.select(*part, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*mine).alias("_point"))
+    r = ranges.select(*part, F.col(first).alias("_at"), F.lit(0).alias("_kind"), F.struct(*theirs).alias("_range"))
+    both = p.unionByName(r, allowMissingColumns=True)
+    so_far = Window.partitionBy(*part).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("_range", F.last("_range", True).over(so_far)).where((F.col("_kind") == 1) & (F.col("_at") <= F.col(f"_range.{last}")))
+    return both.select(*part, "_point.*", "_range.*")
 
 
 def near_pairs(a: DataFrame, key: str, part: list[str], hash_: str, most_bits: int) -> DataFrame:
-    """Pairs of one part whose hashes differ in few bits (of J9 that test alone). A part is a segment, whose size the caller bounds."""
+    """Pairs of one part whose hashes differ in few bits (of J9 that test alone).
+
+    Of ``most_bits`` + 1 bands of a hash, one at least is equal in such a pair, so hashes meet by bands, and a pair counts in
+    the first band that they share. The more bits may differ, the shorter bands are, and the more pairs meet for nothing.
+    """
     from ..functions.scalars import hamming
 
-    b = a.select(*part, F.col(key).alias("other"), F.col(hash_).alias("_h"))
-    return a.join(b, part).where(F.col(key) < F.col("other")).withColumn("bits", hamming(F.col(hash_), F.col("_h"))).where(F.col("bits") <= most_bits).drop("_h")
+    edges = [64 * k // (most_bits + 1) for k in range(most_bits + 2)]
+    band = lambda h: F.array(*[F.expr(f"shiftrightunsigned({h}, {x}) & {(1 << (y - x)) - 1}L") for x, y in zip(edges[:-1], edges[1:])])
+    left = a.withColumn("_bands", band(hash_)).select("*", F.posexplode("_bands").alias("_k", "_band"))
+    right = left.select(*part, F.col(key).alias("other"), F.col(hash_).alias("_h"), F.col("_bands").alias("_theirs"), "_k", "_band")
+    met = left.join(right, [*part, "_k", "_band"]).where(F.col(key) < F.col("other")).withColumn("bits", hamming(F.col(hash_), F.col("_h")))
+    first = F.array_position(F.zip_with("_bands", "_theirs", lambda x, y: x == y), F.lit(True)) == F.col("_k") + 1
+    return met.where((F.col("bits") <= most_bits) & first).drop("_h", "_bands", "_theirs", "_k", "_band")
 
 
 def three_state_sort(df: DataFrame, col: str, seq: str, state: str) -> DataFrame:

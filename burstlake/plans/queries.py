@@ -15,6 +15,7 @@ from ..operators import relate as R
 from ..operators import segments as G
 from ..operators import sinkplan as P
 from ..operators import cull as C
+from ..sources import convert as V
 from .bindings import FILES_SQL, FRAMES_SQL, PORTRAITS_SQL, files, frames, portraits, table
 
 #: Gaps that suit the events table, whose users pause for hours.
@@ -639,3 +640,88 @@ def turned_frames(spark, sf_dir):
     """Pixels turned as their orientation says."""
     df = _pictures(spark, sf_dir).withColumn("orientation", (F.col("path").cast("long") % 8 + 1).cast("int"))
     return _digested(tone.over_frames(df, lambda rgb: rgb, turned=True))
+
+
+def _camera_files(spark, sf_dir):
+    """``pages`` as CR2 files in one folder each three; every eleventh is cut off."""
+    from ..sources import fixture
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [{"path": f"d{r['page_id'] // 3}/IMG_{r['page_id']}.CR2", "content": fixture.cr2_file(320 + r["page_id"] % 50, 200 + r["page_id"] % 30, r["mark"].encode(), r["page_id"] % 8 + 1, "<>"[r["page_id"] % 2], r["page_id"] % 600, b"n" * (r["page_id"] * 997 % 20_000 + r["page_id"] % 2 * 70_000), 0.2 if r["page_id"] % 11 == 0 else 1.0)} for r in b.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    made = table(spark, sf_dir, "pages").select("page_id", F.md5("url").alias("mark")).mapInArrow(run, "path string, content binary")
+    return made.withColumn("dst_name", F.concat(F.regexp_extract("path", "(IMG_[0-9]+)", 1), F.lit(".jpg")))
+
+
+_OF = "CASE WHEN page_id % 11 <> 0 THEN {} END"
+
+
+@query(f"""SELECT page_id, page_id % 11 <> 0 AS ok, CASE WHEN page_id % 11 = 0 THEN 'raw' ELSE 'lossless' END AS mode, {_OF.format("'ifd0'")} AS source, {_OF.format("(320 + page_id % 50)::INT")} AS width, {_OF.format("(200 + page_id % 30)::INT")} AS height,
+ {_OF.format("(page_id % 8 + 1)::INT")} AS orientation, {_OF.format("sha1(unhex('ffda000c03010002000300003f00') || encode(md5(url)) || unhex('ffd9'))")} AS scan, {_OF.format("(page_id % 2)::INT")} AS dropped FROM pages""")
+def converted_previews(spark, sf_dir):
+    """S10, S22, T-2, T-7, S28, O1, O3, O4, O6: a CR2 file a page, every eleventh cut off; the scan must come out byte for byte."""
+    got = V.convert_files(_camera_files(spark, sf_dir)).withColumn("page_id", F.regexp_extract("path", "IMG_([0-9]+)", 1).cast("long"))
+    scan = F.expr("substring(data, octet_length(data) - 47, 48)")
+    dropped = F.when(F.col("ok"), F.exists("notes", lambda n: n == "tag 0x927c left out").cast("int"))
+    return got.select("page_id", "ok", "mode", "source", "width", "height", "orientation", F.sha1(scan).alias("scan"), dropped.alias("dropped"))
+
+
+@query("SELECT page_id, 'ifd0' AS source, md5(url) AS mark FROM pages WHERE page_id % 11 <> 0")
+def preview_slices(spark, sf_dir):
+    """S10, T-2, S22 as expressions: the probe's best preview, cut out of the file."""
+    from ..sources import cr2
+
+    files_ = _camera_files(spark, sf_dir)
+    found = cr2.probe_files(files_).where("error is null").select("path", V.best_preview(F.col("previews")).alias("p"))
+    cut = files_.join(found, "path").withColumn("stream", V.preview_bytes(F.col("content"), F.col("p")))
+    return cut.select(F.regexp_extract("path", "IMG_([0-9]+)", 1).cast("long").alias("page_id"), "p.source", F.expr("cast(substring(stream, octet_length(stream) - 33, 32) as string)").alias("mark"))
+
+
+@query("""SELECT page_id, CASE WHEN regexp_matches(s, '[\\\\/:*?"<>|]') THEN 'reserved' WHEN s LIKE '% ' AND trim(s, ' .') <> '' THEN 'edge' END AS problem, left(trim(trim(regexp_replace(s, '[\\\\/:*?"<>|]', '', 'g')), ' .'), 40) AS cleaned
+ FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN substr(md5(url), 1, 12) || '. ' ELSE '_' || md5(url) || md5(url) END AS s FROM pages)""")
+def suffixes(spark, sf_dir):
+    """Whether a text can follow a stem, and what is left of it if it must."""
+    k = F.col("page_id") % 3
+    p = table(spark, sf_dir, "pages").select("page_id", F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.substring(F.md5("url"), 1, 12), F.lit(". "))).otherwise(F.concat(F.lit("_"), F.md5("url"), F.md5("url"))).alias("s"))
+    return p.select("page_id", S.suffix_problem(F.col("s")).alias("problem"), S.clean_suffix(F.col("s")).alias("cleaned"))
+
+
+@query("""WITH f AS (SELECT p_brand AS template, p_type AS key, p_size % 2 AS label, min(p_name) AS example FROM part GROUP BY ALL), s AS (SELECT p_brand AS template, p_type AS key, nullif(max(p_name), 'x') AS value FROM part WHERE p_brand < 'Brand#3' GROUP BY ALL),
+ c AS (SELECT p_type AS key, 1 AS label, CASE WHEN count(*) % 2 = 0 THEN max(p_name) ELSE ' ' END AS value FROM part GROUP BY 1)
+ SELECT f.template, f.key, f.label, coalesce(CASE WHEN f.template IN (SELECT template FROM s) THEN s.value WHEN trim(c.value) <> '' THEN c.value END, f.example, '') AS value FROM f LEFT JOIN s ON s.template = f.template AND s.key = f.key LEFT JOIN c ON c.key = f.key AND c.label = f.label""")
+def carried_fields(spark, sf_dir):
+    """A template's fields, saved or carried over by key and label."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("template"), F.col("p_type").alias("key"), (F.col("p_size") % 2).alias("label"), "p_name")
+    fields = p.groupBy("template", "key", "label").agg(F.min("p_name").alias("example"))
+    saved = p.where("template < 'Brand#3'").groupBy("template", "key").agg(F.max("p_name").alias("value"))
+    current = p.groupBy("key").agg(F.when(F.count("*") % 2 == 0, F.max("p_name")).otherwise(" ").alias("value")).withColumn("label", F.lit(1))
+    return R.carry_over(fields, current, saved)
+
+
+@query("""SELECT doc_id, source FROM documents WHERE lower(source || doc_id % 500) IN (SELECT lower('Src' || doc_id) FROM labels) OR lower(source || doc_id % 500) IN (SELECT lower(source || doc_id) FROM documents WHERE doc_id % 5 = 0)
+ QUALIFY row_number() OVER (PARTITION BY lower(source || doc_id % 500) ORDER BY doc_id DESC) = 1""")
+def saved_ticks(spark, sf_dir):
+    """Saved names whatever their case, unknown ones dropped, the last of equal names."""
+    d = table(spark, sf_dir, "documents")
+    items = d.select("doc_id", "source", F.concat("source", (F.col("doc_id") % 500).cast("string")).alias("name"))
+    saved = d.where("doc_id % 5 = 0").select(F.upper(F.concat("source", F.col("doc_id").cast("string"))).alias("name")).union(table(spark, sf_dir, "labels").select(F.concat(F.lit("Src"), F.col("doc_id").cast("string"))))
+    return R.saved_ticks(items, saved, pos="doc_id").select("doc_id", "source")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) ORDER BY o_custkey = (SELECT min(o_custkey) FROM orders) DESC, o_orderkey DESC LIMIT 40")
+def retained_folders(spark, sf_dir):
+    """T-8: the forty saved last, and always the current one."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    return R.retained(o, "o_custkey", "o_orderkey", o.agg(F.min("o_custkey")).first()[0])
+
+
+@query(f"""WITH {FILES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY pos) AS n FROM files), w AS (SELECT *, row_number() OVER (PARTITION BY lower(stem), dir ORDER BY pos) AS m FROM k)
+ SELECT pos, path AS src, stem || CASE WHEN n = 1 THEN '' WHEN m = 1 OR (m = 2 AND n = 2) THEN '_' || dir ELSE '_' || (n - CASE WHEN n > 2 THEN 1 ELSE 0 END) END || '.jpg' AS dst_name FROM w""")
+def converter_names(spark, sf_dir):
+    """K5, the converter's policy: all into one folder, so frames of one name get their folder's name, then numbers."""
+    f = files(spark, sf_dir).select("pos", F.lit("out").alias("out_dir"), "stem", F.col("path").alias("src"))
+    return P.plan_names(f, policy="telling", shared=True).select("pos", "src", "dst_name")
