@@ -161,7 +161,8 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: floa
     texts = rows.select("rid", "_text").join(wanted.hint("merge"), F.col("rid") == F.col("w_rid")).dropDuplicates(["node"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = texts.select("root", "node", "copies", "block", "_text", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-    verified = units.groupBy("root", "i", "j").applyInPandas(_verify(threshold, n), "node long, links long, root long")
+    # Units are dealt out by ranges, balanced by their rows; hashes would put several large ones into one task.
+    verified = units.repartitionByRange("root", "i", "j").groupBy("root", "i", "j").applyInPandas(_verify(threshold, n), "node long, links long, root long")
     verified = scratch.table(verified, "verified")
     scratch.drop("firsts", "stars", "groups", "sizes", "members")
     classes = components(verified.select(F.col("node").alias("u"), F.col("root").alias("v")), scratch, "classes")
