@@ -165,6 +165,24 @@ def test_secrets_beside_base_spans():
     assert time.monotonic() - began < 2
 
 
+def test_runs_of_one_character_and_long_texts():
+    import time
+
+    for n in range(19, 61):
+        for c in "=a1-/":
+            base, more = secret_scan.scan("h1" + c * n + " iVBOR1" + "A" * n + "Q==")
+            assert all(a < b for _, a, b in base + more)
+    r = random.Random(1)
+    for _ in range(200):
+        s = "".join(r.choices("a1", k=r.randrange(1, 50)))
+        assert -1e-9 <= secret_scan.highest_entropy(s, 20) <= 1 + 1e-9
+    began = time.monotonic()
+    for text in ("a1" * 500_000, "a-" * 500_000 + "1", "=" * 1_000_000, ("token=" + "x1Y2" * 6 + " ") * 30_000, "q8Z2mX7vL4tR9wB1nC5y " * 40_000):
+        secret_scan.scan(text)
+        personal_data.find(text)
+    assert time.monotonic() - began < 90
+
+
 def test_personal(spark, sf, docs_of):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     r = random.Random(9)
