@@ -80,6 +80,13 @@ def plural(n: Column, one: str, few: str, many: str) -> Column:
     return F.when((tens >= 11) & (tens <= 14), many).when(ones == 1, one).when((ones >= 2) & (ones <= 4), few).otherwise(many)
 
 
+def duration(seconds: Column) -> Column:
+    """A time taken, in words' short forms."""
+    s = F.greatest(seconds.cast("double"), F.lit(0.0))
+    whole = F.bround(s, 0).cast("long")
+    return F.when(s < 60, F.format_string("%.1f с", s)).when(s < 3600, F.format_string("%d мин %d с", F.floor(whole / 60), whole % 60)).otherwise(F.format_string("%d ч %d мин", F.floor(whole / 3600), F.floor(whole % 3600 / 60)))
+
+
 def camera(make: Column, model: Column) -> Column:
     """The model alone if it starts with the make."""
     make, model = F.trim(F.coalesce(make, F.lit(""))), F.trim(F.coalesce(model, F.lit("")))
@@ -143,6 +150,13 @@ def subject(faces: Column, w: Column, h: Column, least: int = 32, edge: int = 2)
     return F.get(ranked, F.lit(0))["f"]
 
 
+def faces_in_order(faces: Column, w: Column, h: Column) -> Column:
+    """Faces as shares of the frame, the subject first and then the larger ones."""
+    first = subject(faces, w, h)
+    keyed = F.transform(faces, lambda f, i: F.struct((~f.eqNullSafe(first)).alias("later"), (-f["w"] * f["h"]).alias("size"), i.alias("i"), F.struct((f["x"] / w).alias("x"), (f["y"] / h).alias("y"), (f["w"] / w).alias("w"), (f["h"] / h).alias("h")).alias("f")))
+    return F.transform(F.array_sort(keyed), lambda k: k["f"])
+
+
 def elided(s: Column, width: int, mark: str = "…") -> Column:
     """A string of over ``width`` characters ends in ``mark`` instead; one character stays at least."""
     return F.when(F.char_length(s) <= width, s).otherwise(F.concat(F.left(s, F.lit(max(1, width - 1))), F.lit(mark)))

@@ -725,3 +725,12 @@ def converter_names(spark, sf_dir):
     """K5, the converter's policy: all into one folder, so frames of one name get their folder's name, then numbers."""
     f = files(spark, sf_dir).select("pos", F.lit("out").alias("out_dir"), "stem", F.col("path").alias("src"))
     return P.plan_names(f, policy="telling", shared=True).select("pos", "src", "dst_name")
+
+
+@query(f"""WITH {PORTRAITS_SQL}, cand AS (SELECT *, x > 2 AND y > 2 AND x + s < 638 AND y + s < 430 AS inner_, s * s * (1 - 0.6::DOUBLE * least(sqrt(pow((x + s / 2.0::DOUBLE) / 640 - 0.5::DOUBLE, 2) + pow((y + s / 2.0::DOUBLE) / 432 - 0.5::DOUBLE, 2)), 1)) AS v FROM faces WHERE s >= 32),
+ subj AS (SELECT * FROM (SELECT *, bool_or(inner_) OVER (PARTITION BY frame_id) AS any_ FROM cand) WHERE inner_ OR NOT any_ QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY v DESC, k) = 1)
+ SELECT f.frame_id, row_number() OVER (PARTITION BY f.frame_id ORDER BY CASE WHEN j.k = f.k THEN 0 ELSE 1 END, f.s DESC, f.k) - 1 AS nth, round(f.x / 640.0::DOUBLE, 9) AS x, round(f.y / 432.0::DOUBLE, 9) AS y, round(f.s / 640.0::DOUBLE, 9) AS w FROM faces f LEFT JOIN subj j USING (frame_id)""")
+def ordered_faces(spark, sf_dir):
+    """a frame's faces, the subject first."""
+    df = portraits(spark, sf_dir).select("frame_id", F.posexplode(S.faces_in_order(F.col("faces"), F.col("w"), F.col("h"))).alias("nth", "f"))
+    return df.select("frame_id", "nth", *[F.round(f"f.{c}", 9).alias(c) for c in "xyw"])

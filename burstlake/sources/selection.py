@@ -1,4 +1,4 @@
-"""Selections as JSON (survey S25, O8), and copying what they name."""
+"""Selections and settings as JSON (survey S25, S26, O8), and copying what they name."""
 
 from __future__ import annotations
 
@@ -21,6 +21,34 @@ def save(path: str, names: list[str], note: str = "") -> None:
     os.replace(temp, path)
 
 
+# The encodings that old settings may have, in order of trial.
+LEGACY = ("cp1251", "cp866", "koi8-r", "mac-cyrillic")
+
+
+def decoded(data: bytes) -> str:
+    """The text of a settings file (S26): UTF-8 if it is that, else in the encoding that gives most small Cyrillic letters, the first of equal ones."""
+    try:
+        return data.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        tries = [data.decode(e, "replace") for e in LEGACY]
+        return max(tries, key=lambda t: sum("а" <= c <= "я" or c == "ё" for c in t))
+
+
+def load_settings(path: str) -> tuple[dict, str | None]:
+    """(settings, where a broken file was put aside or null) (S26): what isn't an object of JSON doesn't stop a start, and isn't lost."""
+    try:
+        with open(path, "rb") as f:
+            found = json.loads(decoded(f.read()))
+        if isinstance(found, dict):
+            return found, None
+    except FileNotFoundError:
+        return {}, None
+    except ValueError:
+        pass
+    os.replace(path, path + ".broken")
+    return {}, path + ".broken"
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """(pos, file) of a selection; anything but strings is left out, another format is an error."""
     df = spark.read.schema("format string, version int, note string, files array<string>").json(path, multiLine=True)

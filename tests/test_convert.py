@@ -144,3 +144,78 @@ def test_retained(spark):
 def test_flat_frames_have_a_sharpness():
     lap, sharp = pixels.sharpness(np.full((200, 200), 9, np.uint8))
     assert lap == 0 and sharp < -10 and pixels.tiles(np.zeros((130, 70))).shape == (2, 1, 64, 64)
+
+
+def test_faces_of_given_boxes(spark):
+    skin = np.full((120, 160, 3), (224, 172, 140), np.uint8)
+    skin[:, :60] = (20, 90, 30)
+    boxes = [(70, 20, 60, 60), (0, 0, 50, 50), (150, 100, 90, 90), (-20, 30, 200, 80)]
+    faces = "boxes array<struct<x:int,y:int,w:int,h:int>>"
+    df = spark.createDataFrame([("a", 120, 160, bytearray(skin.tobytes()), boxes), ("b", 1, 1, bytearray(b"x"), boxes), ("c", 120, 160, bytearray(skin.tobytes()), None)], f"path string, h int, w int, data binary, {faces}")
+    got = {r.path: r.faces for r in pixels.measure_faces(df).collect()}
+    assert [(f.x, f.y, f.w, f.h) for f in got["a"]] == [(70, 20, 60, 60), (0, 30, 160, 80)] and got["b"] is None and got["c"] == []
+    assert abs(got["a"][0].mean - (224 + 172 + 140) / 3) < 1e-9 and got["a"][0].clip_hi == 0 and got["a"][0].ten_n < 1e-3
+    assert pixels.shrunk(np.zeros((1000, 500, 3), np.uint8)).shape == (648, 324, 3) and pixels.shrunk(skin) is skin
+    ramp = np.tile(np.arange(64.0), (8, 1))
+    assert np.allclose(pixels.bilinear_resize(ramp, 8, 64), ramp) and abs(pixels.bilinear_resize(ramp, 4, 32).mean() - 31.5) < 0.6
+
+
+def test_streams(spark, tmp_path):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from burstlake.streaming import results
+
+    src = tmp_path / "in"
+    src.mkdir()
+    rows = [("log", 1, 1, "a"), ("log", 1, 3, "c"), ("log", 1, 2, "b"), ("pick", 2, 1, "x"), ("other", 3, 1, "y")]
+    for k, r in enumerate(rows):
+        (src / f"{k}.json").write_text(json.dumps(dict(zip(("topic", "key", "gen", "value"), r))))
+    seen: dict = {"log": [], "pick": []}
+    take = lambda name: lambda batch, number: seen[name].extend((number, r.key, r.value) for r in batch.collect())
+    stream = results.arriving(spark, str(src), "topic string, key int, gen int, value string", most_files=2)
+    results.drained(stream, str(tmp_path / "c1"), {name: take(name) for name in seen}).awaitTermination(60)
+    assert sorted(v for _, _, v in seen["log"]) == ["a", "b", "c"] and [v for _, _, v in seen["pick"]] == ["x"]
+    assert len({n for part in seen.values() for n, _, _ in part}) >= 2  # a batch takes two files
+    batch = spark.createDataFrame(rows, "topic string, key int, gen int, value string")
+    assert {r.key: (r.gen, r.value) for r in results.newest(batch, "key", "gen", "value").collect()} == {1: (3, "c"), 2: (1, "x"), 3: (1, "y")}
+    times = spark.range(6).select(F.lit(1).alias("shoot_id"), F.timestamp_seconds(F.col("id") * 30).alias("ts"), F.col("id").cast("double").alias("sharpness"))
+    assert sorted(r.n for r in results.windowed(times, "1 minute").collect()) == [2, 2, 2] and sum(r.n for r in results.windowed(times, "1 minute", "30 seconds").collect()) == 12
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from burstlake.__main__ import main, parsed
+
+    (tmp_path / "in" / "s").mkdir(parents=True)
+    (tmp_path / "in" / "_MG_1.CR2").write_bytes(a_file())
+    (tmp_path / "in" / "s" / "_mg_1.cr2").write_bytes(a_file())
+    out = str(tmp_path / "out")
+    assert main([str(tmp_path / "in"), "-o", out]) == 0 and sorted(os.listdir(out)) == ["_MG_1.jpg", "_mg_1_s.jpg"]
+    (tmp_path / "in" / "bad.CR2").write_bytes(b"II")
+    assert main([str(tmp_path / "in"), "-o", out, "--dry-run"]) == 1 and main([str(tmp_path / "out"), "-o", out]) == 2
+    for wrong in (["--min-ratio", "2"], ["--max-side", "9"], ["--suffix", "a/b"], ["--suffix", "a."], ["--workers", "65"]):
+        with pytest.raises(SystemExit) as e:
+            parsed(["x", "-o", out, *wrong])
+        assert e.value.code == 2
+
+
+def test_durations(spark):
+    from pyspark.sql import functions as F
+
+    from burstlake.functions import scalars as S
+
+    got = spark.createDataFrame([(5.25,), (75.0,), (3720.0,), (-1.0,)], "s double").select(S.duration(F.col("s")).alias("d")).collect()
+    assert [r.d for r in got] == ["5.3 с", "1 мин 15 с", "1 ч 2 мин", "0.0 с"]
+
+
+def test_settings(tmp_path):
+    from burstlake.sources import selection
+
+    text = '{"папка": "шёл дождь", "n": 1}'
+    for e in ("utf-8", "utf-8-sig", *selection.LEGACY):
+        (tmp_path / "s.json").write_bytes(text.encode(e))
+        assert selection.load_settings(str(tmp_path / "s.json")) == ({"папка": "шёл дождь", "n": 1}, None), e
+    (tmp_path / "s.json").write_text("[1")
+    assert selection.load_settings(str(tmp_path / "s.json")) == ({}, str(tmp_path / "s.json.broken")) and os.path.exists(tmp_path / "s.json.broken")
+    assert selection.load_settings(str(tmp_path / "s.json")) == ({}, None)
