@@ -96,8 +96,11 @@ class Classes:
     counts, so the expected number of a token's neighbours is small.
     """
 
-    def __init__(self, frequent: list[tuple[bytes, int]], own: int, shared: int, least: int):
-        self.frequent, counts = pa.array([w for w, _ in frequent], pa.binary()), np.array([c for _, c in frequent], np.int64)
+    def __init__(self, frequent: list[tuple[bytes, int]] | tuple[pa.Array, np.ndarray], own: int, shared: int, least: int):
+        if isinstance(frequent, list):
+            frequent = pa.array([w for w, _ in frequent], pa.binary()), np.array([c for _, c in frequent], np.int64)
+        self.frequent, counts = frequent
+        frequent = self.frequent
         self.own, self.shared = min(own, len(frequent)), shared
         self.size = self.own + shared
         self.by_tail = _groups_by_tail(shared)
@@ -172,6 +175,15 @@ class Model:
         """Takes copies of a model's tables as its own."""
         self.tables = [self.r, self.q, self.t, self.c] = [x.copy() for x in tables]
 
+    @classmethod
+    def of(cls, tables: list[np.ndarray], classes: Classes) -> "Model":
+        """A trained model to score with; its tables aren't copied."""
+        m = cls.__new__(cls)
+        m.tables = [m.r, m.q, m.t, m.c] = tables
+        m.size, m.head = classes.size, classes.head
+        m.first = len(m.head) - len(m.t)
+        return m
+
     def context(self, w: np.ndarray) -> np.ndarray:
         x, at = self.r.take(w, axis=0), self.named(w)
         x[at] += self.r.take(self.head.take(w[at]), axis=0)
@@ -270,13 +282,15 @@ def _contexts(w: np.ndarray, sizes: list[int], start: int) -> tuple[np.ndarray,
 
 
 def _over_arrow(df: DataFrame, schema: T.StructType, make) -> DataFrame:
-    """``mapInArrow`` for functions from a record batch to record batches; ``make()`` runs once a task."""
+    """``mapInArrow`` for functions from a record batch to record batches; ``make()`` runs once a task, and its function's ``last`` closes it."""
 
     def run(batches):
         each = make()
         for batch in batches:
             if batch.num_rows:
                 yield from each(batch)
+        if last := getattr(each, "last", None):
+            yield from last()
 
     return df.mapInArrow(run, schema)
 
@@ -314,6 +328,7 @@ def score(train: DataFrame | Column, docs: DataFrame, own: int = 64, shared: int
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = heaviest(counts, "c", most).toArrow()
     frequent = sorted(zip(top["token"].to_pylist(), top["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
+    frequent = pa.array([w for w, _ in frequent], pa.binary()), np.array([c for _, c in frequent], np.int64)  # a worker holds no object a token
     del top
     classes = Classes(frequent, own, shared, least)
     # counts and sizes of the groups of rare tokens: at most ``shared`` rows
@@ -356,13 +371,30 @@ def _worker() -> dict:
     return _WORKER
 
 
-def _setup(sent) -> tuple[Classes, Model]:
+def _vocabulary(sent) -> Classes:
     if _WORKER.get("of") is not sent.value:
         frequent, own, shared, least, d, noise, within, shared_log = sent.value
         classes = Classes(frequent, own, shared, least)
         _WORKER.clear()
         _WORKER.update(of=sent.value, classes=classes, noise=noise, within=within, shared_log=shared_log, d=d)
-    classes = _WORKER["classes"]
+    return _WORKER["classes"]
+
+
+def _lean() -> None:
+    """Gives back what earlier tasks of this worker have freed, before more is taken."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def _setup(sent) -> tuple[Classes, Model]:
+    classes = _vocabulary(sent)
     return classes, Model(classes.size, _WORKER["d"], _WORKER["noise"], _WORKER["within"], classes.head)
 
 
@@ -375,7 +407,8 @@ def _encode(docs: DataFrame, sent) -> DataFrame:
     def make():
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        classes, _ = _setup(sent)
+        _lean()
+        classes = _vocabulary(sent)
         logs, out = np.log10(classes.counts + 1), to_arrow_schema(schema)
 
         def some(texts):
@@ -411,14 +444,16 @@ def _encode(docs: DataFrame, sent) -> DataFrame:
     return _over_arrow(docs, schema, make)
 
 
-def _flat(blobs: list[bytes], most: int = 1_000_000) -> Iterator[tuple[np.ndarray, list[int]]]:
-    """Entries of texts in a row, and how many each has, in parts of about ``most`` entries; a longer text is a part of its own."""
-    at, have = 0, 0
-    for k, x in enumerate(blobs):
-        have += len(x) // 4
-        if have >= most or k + 1 == len(blobs):
-            yield np.frombuffer(b"".join(blobs[at : k + 1]), np.int32), [len(b) // 4 for b in blobs[at : k + 1]]
-            at, have = k + 1, 0
+def _flat(blobs: pa.Array, most: int = 500_000) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Entries of texts in a row, and how many each has, in parts of about ``most`` entries; a longer text is a part of its own. Nothing is copied."""
+    _, offsets, data = blobs.buffers()
+    ends = np.frombuffer(offsets, np.int32)[blobs.offset : blobs.offset + len(blobs) + 1] // 4
+    entries = np.frombuffer(data, np.int32, int(ends[-1]))
+    at = 0
+    while at < len(blobs):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield entries[ends[at] : ends[end]], np.diff(ends[at : end + 1]).tolist()
+        at = end
 
 
 def _train(ids: DataFrame, sent, rounds: int, tokens: int, per_copy: int = 6_000_000, chunk: int = 1_000_000, block: int = 512) -> Model:
@@ -435,16 +470,19 @@ def _train(ids: DataFrame, sent, rounds: int, tokens: int, per_copy: int = 6_000
 
     def one(texts: DataFrame, start) -> pa.Table:
         def make():
+            _lean()
+            sent_rows = pa.schema([("which", pa.int32()), ("block", pa.int32()), ("at", pa.binary()), ("n", pa.binary()), ("rows", pa.binary())])
             classes, model = _setup(sent)
             if start is not None:
                 model.load(start.value)
             trainer = Trainer(model, _worker()["noise"], tail=_worker()["within"])
 
-            def each(cols):
-                for w, sizes in _flat(cols["_ids"]):
+            def each(batch):
+                for w, sizes in _flat(batch.column(0)):
                     w1, w2 = _contexts(w, sizes, classes.start)
                     for a in range(0, len(w), chunk):
                         trainer.train(w1[a : a + chunk], w2[a : a + chunk], w[a : a + chunk])
+                return []
 
             def last():
                 out: dict = {"which": [], "block": [], "at": [], "n": [], "rows": []}
@@ -457,7 +495,7 @@ def _train(ids: DataFrame, sent, rounds: int, tokens: int, per_copy: int = 6_000
                             out["at"].append((at - a).astype(np.int16).tobytes())
                             out["n"].append(times[at].astype(np.float32).tobytes())
                             out["rows"].append(x[at].astype(np.float16).tobytes())
-                return out if out["which"] else None
+                yield pa.RecordBatch.from_pydict(out, schema=sent_rows)
 
             each.last = last
             return each
@@ -473,7 +511,7 @@ def _train(ids: DataFrame, sent, rounds: int, tokens: int, per_copy: int = 6_000
             at = np.flatnonzero(weight)
             return pd.DataFrame({"which": [g["which"].iloc[0]], "at": [(at + first).astype(np.int32).tobytes()], "rows": [(total[at] / weight[at, None]).astype(np.float32).tobytes()]})
 
-        parts = map_rows(texts, "which int, block int, at binary, n binary, rows binary", make)
+        parts = _over_arrow(texts, T.StructType.fromDDL("which int, block int, at binary, n binary, rows binary"), make)
         return parts.groupBy("which", "block").applyInPandas(mean, "which int, at binary, rows binary").toArrow()
 
     for k in range(rounds):
@@ -487,24 +525,27 @@ def _train(ids: DataFrame, sent, rounds: int, tokens: int, per_copy: int = 6_000
 def _score(docs: DataFrame, sent, params) -> DataFrame:
     """``docs`` with ``_class_log`` in place of ``_ids``: log10 of the model's probability of the entries and of the rare tokens' shares but for their counts."""
     passed = [f for f in docs.schema.fields if f.name != "_ids"]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed)
+    schema = T.StructType([*passed, T.StructField("_class_log", T.DoubleType())])
 
     def make():
-        classes, model = _setup(sent)
-        model.load(params.value)
-        shared_log, scores = _worker()["shared_log"], Scores(model, classes)
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-        def each(cols):
-            out: list[float] = []
-            for w, sizes in _flat(cols["_ids"]):
+        _lean()
+        classes, out = _vocabulary(sent), to_arrow_schema(schema)
+        shared_log, scores = _worker()["shared_log"], Scores(Model.of(params.value, classes), classes)
+
+        def each(batch):
+            got = []
+            for w, sizes in _flat(batch.column(batch.schema.get_field_index("_ids"))):
                 w1, w2 = _contexts(w, sizes, classes.start)
                 logs = scores.of(w1, w2, w).astype(np.float64) / np.log(10) - shared_log[w]
-                out += np.add.reduceat(logs, np.cumsum([0, *sizes[:-1]])).tolist()
-            return {f.name: cols[f.name] for f in passed} | {"_class_log": out}
+                got.append(np.add.reduceat(logs, np.cumsum([0, *sizes[:-1]])))
+            cols = [*(batch.column(batch.schema.get_field_index(f.name)) for f in passed), pa.array(np.concatenate(got))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, out)], schema=out)
 
         return each
 
-    return map_rows(docs, ddl + ", _class_log double", make)
+    return _over_arrow(docs, schema, make)
 
 
 class Scores:
@@ -516,7 +557,7 @@ class Scores:
         self.rc = r @ model.c1, r @ model.c2
         self.of_class = [model.t[m] for m in classes.members()]
 
-    def log_sums(self, w1: np.ndarray, w2: np.ndarray, block: int = 64) -> np.ndarray:
+    def log_sums(self, w1: np.ndarray, w2: np.ndarray, block: int = 32) -> np.ndarray:
         """Logs of the classes' partition functions, by blocks of classes: a row of exponentials for each different token before and each two before."""
         q = self.m.q
         sides = []
@@ -531,7 +572,8 @@ class Scores:
         with np.errstate(over="ignore", invalid="ignore"):
             for c in range(0, len(q), block):
                 part = q[c : c + block]
-                first, second = sides[0][0] @ part[:, :-1].T + part[:, -1], sides[1][0] @ part[:, :-1].T
+                first, second = sides[0][0] @ part[:, :-1].T, sides[1][0] @ part[:, :-1].T
+                first += part[:, -1]
                 np.exp(first, out=first)
                 np.exp(second, out=second)
                 for k in range(0, len(z), 4096):
