@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RAW, JPEG = ("cr2",), ("jpg", "jpeg")
+# Bits that look-alikes' hashes may differ in, and within so many seconds; their signatures' correlation; seconds of one moment.
+ALIKE_BITS, CLOSE_BITS, CLOSE_S, ALIKE_CORR, MOMENT_S = 12, 16, 60.0, 0.6, 10.0
 
 
 def distinct_keep_first(df: DataFrame, key: list, pos: list) -> DataFrame:
@@ -118,6 +122,65 @@ def near_pairs(a: DataFrame, key: str, part: list[str], hash_: str, most_bits: i
     return met.where((F.col("bits") <= most_bits) & first).drop("_h", "_bands", "_theirs", "_k", "_band")
 
 
+def time_pairs(a: DataFrame, key: str, part: list[str], at: str, most: float, keep: list[str]) -> DataFrame:
+    """Pairs of one part that are at most ``most`` apart (of J9 that test alone), with ``keep`` of both, the other's as ``_other_``.
+
+    Time is cut into slots of that length, and a row meets its own slot's rows and those of the two beside it. Rows without a
+    time are in no pair.
+    """
+    slot = F.floor(F.col(at) / most)
+    left = a.select(*part, key, F.col(at).alias("_at"), *keep, F.explode(F.array(slot - 1, slot, slot + 1)).alias("_slot"))
+    right = a.select(*part, F.col(key).alias("other"), F.col(at).alias("_other_at"), *(F.col(c).alias(f"_other_{c}") for c in keep), slot.alias("_slot"))
+    met = left.join(right, [*part, "_slot"]).where(F.col(key) < F.col("other")).withColumn("apart", F.abs(F.col("_at") - F.col("_other_at")))
+    return met.where(F.col("apart") <= most).drop("_slot", "_at", "_other_at")
+
+
+def correlated_pairs(a: DataFrame, key: str, part: list[str], vector: str, least: float, block: int = 256) -> DataFrame:
+    """Pairs of one part whose vectors' product, to six places, is ``least`` or more (of J9 that test alone).
+
+    A part is dealt into blocks of about ``block`` rows by its keys' hashes, and two blocks at a time meet in a matrix product,
+    so a task holds two blocks however large a part is; a row travels once for each block of its part. Rows without a vector are
+    in no pair; the others' have one length.
+    """
+    rows = a.where(F.col(vector).isNotNull()).select(*part, key, F.col(vector).cast("array<double>").alias("_v"))
+    blocks = rows.groupBy(*part).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    rows = rows.join(blocks, part).withColumn("_b", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
+    rows = rows.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = rows.withColumn("_i", F.least("_b", "_x")).withColumn("_j", F.greatest("_b", "_x"))
+
+    def products(g: pd.DataFrame) -> pd.DataFrame:
+        first = g[g["_b"] == g["_i"].iloc[0]]
+        second = g[g["_b"] == g["_j"].iloc[0]]
+        if not len(first) or not len(second):
+            return pd.DataFrame({c: [] for c in (*part, key, "other")})
+        x, y = np.stack(first["_v"].to_list()), np.stack(second["_v"].to_list())
+        k, o = np.nonzero(np.round(x @ y.T, 6) >= least)
+        met = pd.DataFrame({key: first[key].to_numpy()[k], "other": second[key].to_numpy()[o]})
+        if g["_i"].iloc[0] != g["_j"].iloc[0]:
+            turned = met[key] > met["other"]
+            met.loc[turned, [key, "other"]] = met.loc[turned, ["other", key]].to_numpy()
+        met = met[met[key] < met["other"]]
+        return met.assign(**{c: g[c].iloc[0] for c in part})[[*part, key, "other"]]
+
+    ids = a.schema[key].dataType
+    schema = T.StructType([*(a.schema[c] for c in part), T.StructField(key, ids), T.StructField("other", ids)])
+    return rows.select(*part, key, "_v", "_b", "_i", "_j").groupBy(*part, "_i", "_j").applyInPandas(products, schema)
+
+
+def near_duplicates(a: DataFrame, key: str, part: list[str], hash_: str, at: str, segment: str, signature: str) -> DataFrame:
+    """All pairs of one part (a shoot) that are near-duplicates (J9, P5), each once: part, key, other.
+
+    Hashes that differ in few bits, or in some more within a minute; correlated signatures, whatever the time; or seconds apart
+    in one segment. Each test has candidates of its own, and what it needs and is null fails it alone; a null segment is like another.
+    """
+    ids = [*part, key, "other"]
+    near = time_pairs(a, key, part, at, max(CLOSE_S, MOMENT_S), [hash_, segment])
+    looks = (F.col("apart") <= CLOSE_S) & (F.bit_count(F.col(hash_).bitwiseXOR(F.col(f"_other_{hash_}"))) <= CLOSE_BITS)
+    moment = (F.col("apart") <= MOMENT_S) & F.col(segment).eqNullSafe(F.col(f"_other_{segment}"))
+    alike = near_pairs(a.select(*part, key, hash_), key, part, hash_, ALIKE_BITS)
+    return alike.select(*ids).unionByName(near.where(looks | moment).select(*ids)).unionByName(correlated_pairs(a, key, part, signature, ALIKE_CORR)).distinct()
+
+
 def three_state_sort(df: DataFrame, col: str, seq: str, state: str) -> DataFrame:
     """Off: as inserted; ascending; descending, which turns the tie-break as well (T-5)."""
     if state == "off":

@@ -130,6 +130,30 @@ def test_pairs_by_bands(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_duplicates_across_segments(spark):
+    rng = np.random.default_rng(6)
+    base, looks = [int(x) for x in rng.integers(0, 1 << 63, 9)], rng.normal(size=(30, 8))
+    looks /= np.linalg.norm(looks, axis=1)[:, None]
+    rows = []
+    for k in range(700):
+        h = base[k % 9] ^ sum(1 << int(b) for b in rng.choice(63, int(rng.integers(0, 13)), replace=False))
+        v = looks[k % 30] + rng.normal(0, 0.2, 8)
+        v = [float(x) for x in v / np.linalg.norm(v)]
+        rows.append((k, int(k >= 600), None if k % 11 == 0 else h, None if k % 13 == 0 else float(rng.uniform(-900, 9000)), None if k % 7 == 0 else k % 5, None if k % 3 == 0 else v))
+
+    def alike(a, b):
+        apart = abs(a[3] - b[3]) if a[3] is not None and b[3] is not None else None
+        bits = (a[2] ^ b[2]).bit_count() if a[2] is not None and b[2] is not None else 99
+        look = a[5] and b[5] and round(sum(x * y for x, y in zip(a[5], b[5])), 6) >= 0.6
+        return bits <= 12 or apart is not None and (apart <= 10 and a[4] == b[4] or apart <= 60 and bits <= 16) or bool(look)
+
+    want = {(a[1], a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and alike(a, b)}
+    df = spark.createDataFrame(rows, "id long, shoot long, h long, t double, seg long, v array<double>")
+    got = [(r.shoot, r.id, r.other) for r in R.near_duplicates(df, "id", ["shoot"], "h", "t", "seg", "v").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert R.near_duplicates(df.limit(0), "id", ["shoot"], "h", "t", "seg", "v").count() == 0
+
+
 def test_range_join(spark):
     points = spark.createDataFrame([(1, 5.0, "a"), (1, 10.0, "b"), (1, 10.5, "c"), (1, 20.0, "d"), (2, 5.0, "e"), (1, -1.0, "f"), (1, None, "g")], "s long, t double, id string")
     ranges = spark.createDataFrame([(1, 0.0, 10.0, 0), (1, 11.0, 20.0, 1)], "s long, a double, z double, k long")
