@@ -135,18 +135,23 @@ def time_pairs(a: DataFrame, key: str, part: list[str], at: str, most: float, ke
     return met.where(F.col("apart") <= most).drop("_slot", "_at", "_other_at")
 
 
-def correlated_pairs(a: DataFrame, key: str, part: list[str], vector: str, least: float, block: int = 256) -> DataFrame:
-    """Pairs of one part whose vectors' product, to six places, is ``least`` or more (of J9 that test alone).
-
-    A part is dealt into blocks of about ``block`` rows by its keys' hashes, and two blocks at a time meet in a matrix product,
-    so a task holds two blocks however large a part is; a row travels once for each block of its part. Rows without a vector are
-    in no pair; the others' have one length.
-    """
+def _block_pairs(a: DataFrame, key: str, part: list[str], vector: str, block: int) -> DataFrame:
+    """Rows with their block ``_b``, once for each two blocks (``_i`` <= ``_j``) of their part that theirs is one of."""
     rows = a.where(F.col(vector).isNotNull()).select(*part, key, F.col(vector).cast("array<double>").alias("_v"))
     blocks = rows.groupBy(*part).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
     rows = rows.join(blocks, part).withColumn("_b", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
     rows = rows.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     rows = rows.withColumn("_i", F.least("_b", "_x")).withColumn("_j", F.greatest("_b", "_x"))
+    return rows.select(*part, key, "_v", "_b", "_i", "_j")
+
+
+def correlated_pairs(a: DataFrame, key: str, part: list[str], vector: str, least: float, block: int = 256) -> DataFrame:
+    """Pairs of one part whose vectors' product, to six places, is ``least`` or more (of J9 that test alone).
+
+    A part is dealt into blocks of about ``block`` rows by its keys' hashes, and two blocks at a time meet in a matrix product,
+    so a task holds two blocks however large a part is; a row travels once for each block of its part. Rows without a vector
+    or a part are in no pair; the others' have one length.
+    """
 
     def products(g: pd.DataFrame) -> pd.DataFrame:
         first = g[g["_b"] == g["_i"].iloc[0]]
@@ -164,7 +169,34 @@ def correlated_pairs(a: DataFrame, key: str, part: list[str], vector: str, least
 
     ids = a.schema[key].dataType
     schema = T.StructType([*(a.schema[c] for c in part), T.StructField(key, ids), T.StructField("other", ids)])
-    return rows.select(*part, key, "_v", "_b", "_i", "_j").groupBy(*part, "_i", "_j").applyInPandas(products, schema)
+    return _block_pairs(a, key, part, vector, block).groupBy(*part, "_i", "_j").applyInPandas(products, schema)
+
+
+def closest(a: DataFrame, key: str, part: list[str], vector: str, block: int = 256) -> DataFrame:
+    """(key, best, corr): of each row the other one of its part with the largest product, to six places, of equal ones the first (F8).
+
+    Two blocks at a time meet in a matrix product, which leaves a row a candidate for each block. A row alone in its part, or
+    without a vector or a part, has none and is left out.
+    """
+
+    def products(g: pd.DataFrame) -> pd.DataFrame:
+        i, j = g["_i"].iloc[0], g["_j"].iloc[0]
+        first, second = (g[g["_b"] == k].sort_values(key) for k in (i, j))
+        out = []
+        if len(first) and len(second):
+            corr = np.round(np.stack(first["_v"].to_list()) @ np.stack(second["_v"].to_list()).T, 6)
+            if i == j:
+                np.fill_diagonal(corr, -np.inf)
+            for rows, others, c in ((first, second, corr), (second, first, corr.T))[: 1 if i == j else 2]:
+                at = c.argmax(axis=1)  # the first of equal ones
+                top = c[np.arange(len(c)), at]
+                out.append(pd.DataFrame({key: rows[key].to_numpy(), "best": others[key].to_numpy()[at], "corr": top})[top > -np.inf])
+        return pd.concat(out) if out else pd.DataFrame({key: [], "best": [], "corr": []})
+
+    ids = a.schema[key].dataType
+    schema = T.StructType([T.StructField(key, ids), T.StructField("best", ids), T.StructField("corr", T.DoubleType())])
+    some = _block_pairs(a, key, part, vector, block).groupBy(*part, "_i", "_j").applyInPandas(products, schema)
+    return some.groupBy(key).agg(F.min_by("best", F.struct(-F.col("corr"), "best")).alias("best"), F.max("corr").alias("corr"))
 
 
 def near_duplicates(a: DataFrame, key: str, part: list[str], hash_: str, at: str, segment: str, signature: str) -> DataFrame:

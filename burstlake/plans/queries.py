@@ -318,19 +318,26 @@ def segment_of_frame(spark, sf_dir):
 @query("""SELECT a.vec_id, b.vec_id AS other, list_sum([CASE WHEN (a.embedding[i] > 0) <> (b.embedding[i] > 0) THEN 1 ELSE 0 END for i in range(1, 65)])::INT AS bits FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
  WHERE list_sum([CASE WHEN (a.embedding[i] > 0) <> (b.embedding[i] > 0) THEN 1 ELSE 0 END for i in range(1, 65)]) <= 24""")
 def hamming_pairs(spark, sf_dir):
-    """F3, F4; of J9 and P5 the Hamming test within a label."""
+    """F3, F4; of J9 and P5 the Hamming test alone, within a label."""
     df = table(spark, sf_dir, "embeddings").select("vec_id", "label", S.sign_hash(F.col("embedding")).alias("hash"))
     return R.near_pairs(df, "vec_id", ["label"], "hash", 24).select("vec_id", "other", "bits")
 
 
+@query("""WITH v AS (SELECT vec_id // 500 AS shoot_id, vec_id, CAST(vec_id * 37 % 9001 AS DOUBLE) AS t, label, embedding FROM embeddings),
+ p AS (SELECT a.shoot_id, a.vec_id, b.vec_id AS other, abs(a.t - b.t) AS apart, a.label = b.label AS same, list_sum([CASE WHEN (a.embedding[i] > 0) <> (b.embedding[i] > 0) THEN 1 ELSE 0 END for i in range(1, 65)]) AS bits,
+ round(list_sum([CAST(a.embedding[i] AS DOUBLE) * b.embedding[i] for i in range(1, 65)]), 6) AS corr FROM v a JOIN v b ON a.shoot_id = b.shoot_id AND a.vec_id < b.vec_id)
+ SELECT shoot_id, vec_id, other FROM p WHERE bits <= 12 OR (bits <= 16 AND apart <= 60) OR (same AND apart <= 10) OR corr >= 0.6""")
+def near_duplicate_pairs(spark, sf_dir):
+    """The whole predicate, across segments; five hundred vectors make a shoot."""
+    e = table(spark, sf_dir, "embeddings").withColumn("shoot_id", F.expr("vec_id div 500")).withColumn("t", (F.col("vec_id") * 37 % 9001).cast("double"))
+    return R.near_duplicates(e.withColumn("hash", S.sign_hash(F.col("embedding"))), "vec_id", ["shoot_id"], "hash", "t", "label", "embedding")
+
+
 @query("""SELECT a.vec_id, arg_max(b.vec_id, struct_pack(d := round(list_sum([CAST(a.embedding[i] AS DOUBLE) * b.embedding[i] for i in range(1, 65)]), 6), o := -b.vec_id)) AS best, max(round(list_sum([CAST(a.embedding[i] AS DOUBLE) * b.embedding[i] for i in range(1, 65)]), 6)) AS corr
  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1""")
 def signature_topk(spark, sf_dir):
     """Each vector's closest within its label."""
-    e = table(spark, sf_dir, "embeddings")
-    o = e.select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("e2"))
-    df = e.join(o, "label").where("vec_id <> other").withColumn("corr", F.round(S.dot(F.col("embedding"), F.col("e2")), 6))
-    return df.groupBy("vec_id").agg(F.max_by("other", F.struct("corr", (-F.col("other")).alias("o"))).alias("best"), F.max("corr").alias("corr"))
+    return R.closest(table(spark, sf_dir, "embeddings"), "vec_id", ["label"], "embedding")
 
 
 @query("SELECT a.vec_id, b.vec_id AS other, round(list_sum([least(abs(CAST(a.embedding[i] AS DOUBLE)), abs(CAST(b.embedding[i] AS DOUBLE))) for i in range(1, 65)]), 6) AS inter FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

@@ -154,6 +154,21 @@ def test_near_duplicates_across_segments(spark):
     assert R.near_duplicates(df.limit(0), "id", ["shoot"], "h", "t", "seg", "v").count() == 0
 
 
+def test_closest_by_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, int(k >= 200) + int(k == 299), [float(x) for x in rng.integers(-3, 4, 3)] if k % 9 else None) for k in range(300)]
+    dot = lambda a, b: float(sum(x * y for x, y in zip(a[2], b[2])))
+    want = {}
+    for a in rows:
+        others = [(-dot(a, b), b[0]) for b in rows if a[2] and b[2] and a[1] == b[1] and a[0] != b[0]]
+        if others:
+            want[a[0]] = (min(others)[1], -min(others)[0])
+    df = spark.createDataFrame(rows, "id long, part long, v array<float>")
+    for block in (256, 23):
+        got = R.closest(df, "id", ["part"], "v", block).collect()
+        assert len(got) == len(want) and {r.id: (r.best, r.corr) for r in got} == want
+
+
 def test_range_join(spark):
     points = spark.createDataFrame([(1, 5.0, "a"), (1, 10.0, "b"), (1, 10.5, "c"), (1, 20.0, "d"), (2, 5.0, "e"), (1, -1.0, "f"), (1, None, "g")], "s long, t double, id string")
     ranges = spark.createDataFrame([(1, 0.0, 10.0, 0), (1, 11.0, 20.0, 1)], "s long, a double, z double, k long")
