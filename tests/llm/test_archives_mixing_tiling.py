@@ -141,6 +141,57 @@ def test_mix_query_and_odd_rows(spark, sf):
     assert sorted((str(r.doc_id), r.size, str(r.text), r.key) for r in rows) == [("3", 0, "None", "l"), ("None", 2, "a b", "k"), ("None", 2, "a b", "k")]
 
 
+def shuffled(spark, df) -> int:
+    """Bytes that ``df()`` and what it runs before it's returned write to shuffles."""
+    sc, written = spark.sparkContext._jsc.sc(), 0
+    jvm = spark.sparkContext._jvm
+
+    def total():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(stages.apply(k).stageId(), stages.apply(k).attemptId()): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    before = total()
+    df().write.format("noop").mode("overwrite").save()
+    return sum(v for k, v in total().items() if k not in before)
+
+
+def test_mix_does_not_shuffle_what_it_passes_on(spark):
+    r = random.Random(2)
+    df = spark.createDataFrame([(k, r.randbytes(10_000).hex(), f"s{k % 3}") for k in range(200)], "doc_id long, text string, source string")
+    assert mixing.mix(df, keep=["text"]).where("text is not null").count() == 200
+    assert 0 < shuffled(spark, lambda: mixing.mix(df, keep=["text"])) < 200_000 < 200 * 10_000
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_mix_of_equal_rows(spark, broadcast):
+    """Against all rows in one order: ids that many rows share, rows equal in all, sources without words, and no broadcast."""
+    r = random.Random(13)
+    rows = [(r.choice([None, 1, 2, k]), " ".join(r.choices("ab", k=r.choice([0, 1, 3, 3, 8]))), r.choice(["a", "b", "c", None])) for k in range(400)]
+    rows += [(None, "x y z", s) for s in "abcd" for _ in range(90)] + [(None, "", "none"), (7, None, "none")]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        runs = [mixing.mix(df.repartition(n), keep=["text", "source"]).collect() for n in (1, 5)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    key = lambda g: (str(g.source), str(g.doc_id), g.size, str(g.text), g.taken)
+    assert sorted(map(key, runs[0])) == sorted(map(key, runs[1]))
+    md5 = lambda i: hashlib.md5(f"mix-0:{'' if i is None else i}".encode()).hexdigest()
+    for s in {s for *_, s in rows}:
+        got = [g for g in runs[1] if g.source == s]
+        assert sorted((str(g.doc_id), str(g.text)) for g in got) == sorted((str(i), str(t)) for i, t, x in rows if x == s)
+        size, left = sum(g.size for g in got), int(got[0].target)
+        assert {(g.source_size, g.target) for g in got} == {(size, got[0].target)} and sum(g.taken for g in got) == left
+        epochs, left = divmod(left, size) if size else (0, 0)
+        want = []
+        for i, n in sorted(((i, len((t or "").split())) for i, t, x in rows if x == s), key=lambda x: (md5(x[0]), x[1])):
+            want.append((str(i), n, epochs * n + min(left, n)))
+            left -= min(left, n)
+        assert sorted((str(g.doc_id), g.size, g.taken) for g in got) == sorted(want)
+
+
 def test_tiling(spark):
     item = "The quick brown fox jumps over the lazy dog while eleven owls watch quietly from a tall old tree"
     w = item.split()
